@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, langid, quality, toxicity
+from tessera.llm import decontam, html, langid, packing, quality, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.piece_digests(packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return langid.predict_language(docs, langid.train_languages(docs))
@@ -25,16 +31,32 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.match_benchmark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train_quality(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_language_id, op6_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_packing, op5_language_id, op6_decontamination, op7_warc, op8_html_extraction, op10_quality)}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op7_warc": """
+        WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        digest AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS d FROM page),
+        best AS (SELECT d, n, max(page_id) AS of FROM digest WHERE n >= 1000 GROUP BY d, n)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN of IS NULL OR page_id = of THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> of THEN of END AS refers_to
+        FROM digest LEFT JOIN best USING (d, n)""",
     "op6_decontamination": f"""
         WITH item AS (
             SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),

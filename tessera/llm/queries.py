@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, html, langid, packing, quality, suffix_dedup, toxicity, warc
+from tessera.llm import decontam, embeddings, html, langid, packing, quality, suffix_dedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,16 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(_read(spark, sf_dir, "pages"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train_quality(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op4_packing, op5_language_id, op6_decontamination, op7_warc, op8_html_extraction, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op4_packing, op5_language_id, op6_decontamination, op7_warc, op8_html_extraction, op9_embeddings, op10_quality)}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

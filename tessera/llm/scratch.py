@@ -25,20 +25,31 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        self.spark, self.root, self.made, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", [], 0
+        self.paths: dict[int, str] = {}
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}-{len(self.made)}"
+        self.count += 1
+        return f"{self.root}/{name}-{self.count}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         self.made.append(path)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop_path(self, table: DataFrame) -> None:
+        """Drop one table that ``table`` returned."""
+        self._delete([self.paths.pop(id(table))])
 
     def drop(self, *names: str) -> None:
         """Drop the tables of these names, or all of them."""
-        for path in [p for p in self.made if not names or p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]:
+        self._delete([p for p in self.made if not names or p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names])
+
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
             hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
             self.made.remove(path)

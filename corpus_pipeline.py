@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, toxicity
+from tessera.llm import decontam, minhash, packing, suffix_dedup, toxicity
 from tessera.llm.scratch import Scratch
 
 
@@ -14,12 +14,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.train_toxicity(docs, labels))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by repeated strings of 400 bytes go; every document stays, with what is left of its text."""
+    return suffix_dedup.remove_repeats(docs)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("toxicity", drop_toxic), ("decontamination", drop_leaks)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens: one row per piece of a document, with its ids."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("repeated_passages", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
 #: Models and similarity stages have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -73,3 +73,29 @@ def pivots(panel: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"ticker": pdf["ticker"].iloc[at].to_numpy(), "d": pdf["d"].iloc[at].to_numpy(), "kind": [r[1] for r in rows], "price": c[at]})
 
     return panel.select("ticker", "d", "close").groupBy("ticker").applyInPandas(per_ticker, "ticker string, d date, kind string, price double")
+
+
+def robust_z(panel: DataFrame, c: str, least: int = 30, floor: float = 0.001, at: float = 3.0, n: int = 21) -> DataFrame:
+    """ticker, d, expanding, rolling: z-scores by medians.
+
+    ``expanding`` is (x - median) / max(IQR / 1.349, floor) of all rows so far, clipped, from ``least`` rows on;
+    ``rolling`` is (x - median) / (1.4826 MAD) of the last n rows, 0 where the MAD is 0. Sorting each frame anew in SQL
+    costs the square of the series; here quantiles are kept up as rows come.
+    """
+
+    def per_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("d", ignore_index=True)
+        x = pdf[c]
+        so_far = x.expanding(least)
+        low, mid, high = (so_far.quantile(q) for q in (0.25, 0.5, 0.75))
+        expanding = ((x - mid) / ((high - low) / 1.349).clip(lower=floor)).clip(-at, at)
+        rolling = np.full(len(x), np.nan)
+        if len(x) >= n:
+            frames = np.lib.stride_tricks.sliding_window_view(x.to_numpy(dtype=float), n)
+            median = np.median(frames, axis=1)
+            mad = 1.4826 * np.median(np.abs(frames - median[:, None]), axis=1)
+            gap = x.to_numpy(dtype=float)[n - 1 :] - median
+            rolling[n - 1 :] = np.where(np.isnan(median), np.nan, np.divide(gap, mad, out=np.zeros_like(gap), where=mad != 0))
+        return pdf[["ticker", "d"]].assign(expanding=expanding, rolling=rolling)
+
+    return panel.select("ticker", "d", c).groupBy("ticker").applyInPandas(per_ticker, "ticker string, d date, expanding double, rolling double")

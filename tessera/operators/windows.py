@@ -112,26 +112,6 @@ def rolling_correlation(x: str, y: str, n: int) -> Column:
     return F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(w) >= n, F.try_divide(F.covar_samp(x, y).over(w), F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w)))
 
 
-def expanding_robust_z(c: str, least: int, floor: float, at: float) -> Column:
-    """(x - median) / max(IQR / 1.349, floor) of all rows so far, clipped."""
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(so_far())
-    spread = F.greatest((q[2] - q[0]) / 1.349, F.lit(floor))
-    return F.when(F.count(c).over(so_far()) >= least, clipped((F.col(c) - q[1]) / spread, at))
-
-
-def rolling_robust_z(c: str, n: int) -> Column:
-    """(x - median) / (1.4826 MAD) of a full frame, medians interpolated; 0 where the MAD is 0."""
-    values = F.collect_list(c).over(frame(n))
-
-    def median(a):
-        s, k = F.array_sort(a), F.size(a)
-        return (F.element_at(s, F.floor((k + 1) / 2).cast("int")) + F.element_at(s, F.floor(k / 2).cast("int") + 1)) / 2
-
-    m = median(values)
-    mad = median(F.transform(values, lambda x: F.abs(x - m)))
-    return full(F.coalesce(F.try_divide(F.col(c) - m, 1.4826 * mad), F.lit(0.0)), c, n)
-
-
 def rolling_percent_score(c: str, n: int) -> Column:
     """Share of a full frame that is not above the present value, times 100."""
     values = F.collect_list(c).over(frame(n))

@@ -1,6 +1,6 @@
 """All registered queries over the standard tables."""
 
-from tessera.plans import process, relational, timeseries
+from tessera.plans import functions, process, relational, timeseries
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "process", "relational", "timeseries"]
+__all__ = ["ORACLES", "QUERIES", "functions", "process", "relational", "timeseries"]

@@ -235,7 +235,7 @@ def forward_fill(t: Tables) -> DataFrame:
 )
 def expanding_robust_z(t: Tables) -> DataFrame:
     """WN-27"""
-    return _out(panel(t), 5, z=w.expanding_robust_z("close", 30, 0.001, 3.0))
+    return _out(recursive.robust_z(panel(t), "close"), 5, z=F.col("expanding"))
 
 
 @query(
@@ -245,7 +245,7 @@ def expanding_robust_z(t: Tables) -> DataFrame:
 )
 def rolling_robust_z(t: Tables) -> DataFrame:
     """WN-28"""
-    return _out(panel(t), 5, z=w.rolling_robust_z("close", 21))
+    return _out(recursive.robust_z(panel(t), "close"), 5, z=F.col("rolling"))
 
 
 @query(_sql("round(CASE WHEN count(close) OVER f >= 20 THEN greatest(-2.5, least(2.5, (close - avg(close) OVER f) / nullif(stddev_samp(close) OVER f, 0))) END, 5) AS z", n="WINDOW f AS (PARTITION BY ticker ORDER BY d ROWS 59 PRECEDING)"))

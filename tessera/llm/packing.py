@@ -11,6 +11,9 @@ doc_id; a null doc_id sorts first. An empty table gives no pieces. Columns other
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,32 +24,62 @@ from tessera.llm.scratch import Scratch
 
 LENGTH, CLOSING = 2048, 1
 DIMS, DIM_BITS, BUCKETS = 4, 12, 4096
-#: Distinct words whose ids a task keeps; beyond that it starts afresh.
-KEPT_WORDS = 500_000
+#: Distinct words whose ids a generation keeps, two of which a Python worker holds.
+KEPT_WORDS = 400_000
 
 _state: dict = {}
 
 
+#: Words whose pieces are plain: letters that stay letters in lower case, then marks that never join with them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
 class WordIds:
-    """Token ids by word. The vocabulary splits text at white space before anything else, so words are encoded once."""
+    """Token ids by word. The vocabulary splits text at white space before anything else, so words are encoded once.
+
+    Plain words go straight to the tokenizer's model, as lower-casing and byte letters are all that its other steps do
+    to them; all others take every step. Whether that gives the tokenizer's own ids is tried when it is loaded; if not,
+    every word takes every step. Kept words are of two generations: when the younger is full, the older goes, and
+    words met again move up.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.tokenizer, self.kept, self.older, self.marks = Tokenizer.from_file(path), {}, {}, {}
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: "".join(x for x, _ in as_bytes.pre_tokenize_str(chr(c))) for c in [*range(97, 123), *range(0xDF, 0x100)]}
+        trial = ["Hello,", "naïve", "ÉCOLE!?", "straße.", "a", "Łódź", "übermäßig;"]
+        self.plain = _PLAIN.fullmatch if all(self._short(m) == self._encode(w) for w in trial if (m := _PLAIN.fullmatch(w))) else lambda w: None
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _short(self, match: re.Match) -> bytes:
+        letters, marks = match.groups()
+        ids = array("I", [t.id for t in self.model.tokenize(letters.lower().translate(self.letters))]).tobytes()
+        if not marks:
+            return ids
+        if marks not in self.marks:
+            self.marks[marks] = self._encode(marks)
+        return ids + self.marks[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.kept) > KEPT_WORDS:
-            self.kept = {}
-        new = list(set().union(*words).difference(self.kept))
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.kept[w] = np.array(e.ids, dtype="<u4").tobytes()
-        look = self.kept.__getitem__
+            self.kept, self.older = {}, self.kept
+        new = set().union(*words).difference(self.kept)
+        kept, older, plain, short, encode = self.kept, self.older, self.plain, self._short, self._encode
+        for w in new:
+            ids = older.get(w)
+            if ids is None:
+                m = plain(w)
+                ids = short(m) if m else encode(w)
+            kept[w] = ids
+        look = kept.__getitem__
         return [b"".join(map(look, w)) for w in words]
 
 

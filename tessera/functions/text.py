@@ -42,7 +42,7 @@ def without_reply_chain(text: Column) -> Column:
     """The text up to the earliest mark of a quoted mail, a signature or a disclaimer."""
     marks = [r"(?m)^-{2,}\s*Original Message", r"(?m)^From: ", r"(?m)^-- ?$", r"(?i)this (e-?mail|message) (is|may be) confidential"]
     places = [F.nullif(F.regexp_instr(text, F.lit(m)), F.lit(0)) for m in marks]
-    return F.rtrim(F.coalesce(F.left(text, F.least(*places) - 1), text))
+    return F.regexp_replace(F.coalesce(F.left(text, F.least(*places) - 1), text), r"\s+$", "")
 
 
 def sentences(text: Column) -> Column:

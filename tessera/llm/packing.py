@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from tessera.llm.scratch import Scratch
 
 LENGTH, CLOSING = 2048, 1
-DIMS, DIM_BITS, BUCKETS = 4, 12, 4096
+DIMS, DIM_BITS, BUCKETS = 4, 12, 1024
 #: Distinct words whose ids a generation keeps, two of which a Python worker holds.
 KEPT_WORDS = 400_000
 
 _state: dict = {}
 
 
-#: Words whose pieces are plain: letters that stay letters in lower case, then marks that never join with them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Words whose pieces are plain: letters that stay letters in lower case, then ASCII marks that never join with them (an apostrophe may).
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordIds:
@@ -51,7 +51,7 @@ class WordIds:
         self.model = self.tokenizer.model
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: "".join(x for x, _ in as_bytes.pre_tokenize_str(chr(c))) for c in [*range(97, 123), *range(0xDF, 0x100)]}
-        trial = ["Hello,", "naïve", "ÉCOLE!?", "straße.", "a", "Łódź", "übermäßig;"]
+        trial = ["Hello,", "naïve", "ÉCOLE!?", "straße.", "a", "Łódź", "übermäßig;", "x$$$", "y|_<"]
         self.plain = _PLAIN.fullmatch if all(self._short(m) == self._encode(w) for w in trial if (m := _PLAIN.fullmatch(w))) else lambda w: None
 
     def _encode(self, text: str) -> bytes:
@@ -59,7 +59,10 @@ class WordIds:
 
     def _short(self, match: re.Match) -> bytes:
         letters, marks = match.groups()
-        ids = array("I", [t.id for t in self.model.tokenize(letters.lower().translate(self.letters))]).tobytes()
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         if not marks:
             return ids
         if marks not in self.marks:
@@ -126,7 +129,7 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(ids), DIMS))
     for i, x in enumerate(ids):
         if len(x):
-            count = np.bincount((x.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20), minlength=BUCKETS)
+            count = np.bincount((x.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22), minlength=BUCKETS)
             v = np.log1p(count)
             out[i] = (v @ directions) / max(np.sqrt(v @ v), 1e-9)
     return hilbert(np.clip((np.tanh(out / 2) + 1) / 2 * (1 << DIM_BITS), 0, (1 << DIM_BITS) - 1), DIM_BITS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import recursive
+from tessera.operators import recursive, significance
 from tessera.operators import windows as w
 from tessera.plans.registry import Tables, query
 
@@ -471,3 +471,16 @@ def directional_movement(t: Tables) -> DataFrame:
 def zigzag(t: Tables) -> DataFrame:
     """WN-15"""
     return recursive.pivots(panel(t), 0.5)
+
+
+@query()
+def signal_verdicts(t: Tables) -> DataFrame:
+    """AG-21, AG-22, AG-24, CTL-03 and CTL-04: does yesterday's return foretell today's?"""
+    r = _returns(t)
+    return significance.judge(r.withColumn("s", F.lag("r").over(w.ordered())))
+
+
+@query()
+def absorption_ratio(t: Tables) -> DataFrame:
+    """AG-17: the first principal axis of each label's vectors."""
+    return significance.first_component(t.embeddings.withColumn("label", F.col("label").cast("string")), "label", "embedding")

@@ -52,13 +52,13 @@ def unseen(ledger: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def versions(old: DataFrame, new: DataFrame, key: str, as_of) -> DataFrame:
-    """History with valid_from and valid_to (null: active): changed keys end and begin anew, unchanged ones stay."""
+    """History with valid_from and valid_to (null: active): changed keys end and begin anew, keys that are gone end, unchanged ones stay."""
     columns = [c for c in new.columns if c != key]
     active, past = old.where("valid_to is null"), old.where("valid_to is not null")
     now = F.lit(as_of).cast("date")
-    joined = active.select(key, *[F.col(c).alias(f"o_{c}") for c in columns], "valid_from").join(new, key, "outer")
+    joined = active.select(key, *[F.col(c).alias(f"o_{c}") for c in columns], "valid_from").join(new.withColumn("__new", F.lit(True)), key, "outer")
     same = F.xxhash64(*[f"o_{c}" for c in columns]) == F.xxhash64(*columns)
-    is_old, is_new = F.col("valid_from").isNotNull(), F.coalesce(*[F.col(c).isNotNull() for c in columns])
-    ended = joined.where(is_old).select(key, *[F.col(f"o_{c}").alias(c) for c in columns], "valid_from", F.when(~same, now).alias("valid_to"))
+    is_old, is_new = F.col("valid_from").isNotNull(), F.col("__new").isNotNull()
+    ended = joined.where(is_old).select(key, *[F.col(f"o_{c}").alias(c) for c in columns], "valid_from", F.when(~is_new | ~same, now).alias("valid_to"))
     begun = joined.where(is_new & (~is_old | ~same)).select(key, *columns, now.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
     return past.unionByName(ended).unionByName(begun)

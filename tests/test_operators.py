@@ -112,7 +112,7 @@ def test_sinks_and_sources(spark, tmp_path):
     snapshot = spark.createDataFrame(spark.read.parquet(str(tmp_path / "y")).drop("year").collect(), df.schema)
     sinks.save_by_year(snapshot, spark.createDataFrame([(1, "new", dt.date(2023, 5, 1))], df.schema), ["k"], "d", str(tmp_path / "y"))
     assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "y")).collect()} == {(1, "new"), (2, None)}
-    assert readers.canonical(spark.createDataFrame([(1, 2)], "Symbol int, 收盤 int"), ["ticker", "close", "volume"]).columns == ["ticker", "close", "volume"]
+    assert readers.canonical(spark.createDataFrame([(1, 2)], "Symbol int, `收盤` int"), ["ticker", "close", "volume"]).columns == ["ticker", "close", "volume"]
     assert [readers.group_members(spark, t).count() for t in ({"g": ["a", "b"]}, [{"name": "g", "members": ["a"]}], [["g", "a", "b"]], ["a", "b", "c"])] == [2, 1, 2, 3]
 
 

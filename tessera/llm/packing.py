@@ -34,6 +34,21 @@ _state: dict = {}
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+class _Kept(dict):
+    """Words and their ids; a word that is missing comes from the older generation or is encoded."""
+
+    def __init__(self, encode, older: dict):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+
 class WordIds:
     """Token ids by word. The vocabulary splits text at white space before anything else, so words are encoded once.
 
@@ -46,44 +61,43 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.kept, self.older, self.marks = Tokenizer.from_file(path), {}, {}, {}
+        self.tokenizer, self.marks = Tokenizer.from_file(path), {}
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: "".join(x for x, _ in as_bytes.pre_tokenize_str(chr(c))) for c in [*range(97, 123), *range(0xDF, 0x100)]}
+        self.kept, self.plain = _Kept(self._word, {}), _PLAIN.fullmatch
         trial = ["Hello,", "naïve", "ÉCOLE!?", "straße.", "a", "Łódź", "übermäßig;", "x$$$", "y|_<"]
-        self.plain = _PLAIN.fullmatch if all(self._short(m) == self._encode(w) for w in trial if (m := _PLAIN.fullmatch(w))) else lambda w: None
+        if not all(self._word(w) == self._encode(w) for w in trial):
+            self.kept, self.plain = _Kept(self._word, {}), lambda w: None
+
+    def _word(self, word: str) -> bytes:
+        m = self.plain(word)
+        return self._short(m) if m else self._encode(word)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _short(self, match: re.Match) -> bytes:
         letters, marks = match.groups()
-        letters = letters.lower()
-        if not letters.isascii():
-            letters = letters.translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        lower = letters.lower()
+        if not marks and lower == letters:
+            if not lower.isascii():
+                lower = lower.translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(lower)]).tobytes()
         if not marks:
-            return ids
+            return self.kept[lower]
         if marks not in self.marks:
             self.marks[marks] = self._encode(marks)
-        return ids + self.marks[marks]
+        return self.kept[lower] + self.marks[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.kept) > KEPT_WORDS:
-            self.kept, self.older = {}, self.kept
-        new = set().union(*words).difference(self.kept)
-        kept, older, plain, short, encode = self.kept, self.older, self.plain, self._short, self._encode
-        for w in new:
-            ids = older.get(w)
-            if ids is None:
-                m = plain(w)
-                ids = short(m) if m else encode(w)
-            kept[w] = ids
-        look = kept.__getitem__
-        return [b"".join(map(look, w)) for w in words]
+            self.kept.older = {}
+            self.kept = _Kept(self._word, self.kept)
+        look = self.kept.__getitem__
+        return [b"".join(map(look, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def tokenizer_at(path: str) -> WordIds:

@@ -41,6 +41,21 @@ def hashed(texts: pa.Array, bits: int = BITS, pairs: bool = False):
         yield lo, hi, key >> bits, key & ((1 << bits) - 1), count
 
 
+def stems(texts: pa.Array, bits: int):
+    """The same for the first 5 and 7 bytes of words, each again as another feature if a text has it twice, and four times."""
+    for lo, hi, data, offsets in runs(texts):
+        w = words_of(data, offsets)
+        prefix, longer = Prefix(w.data), np.flatnonzero(w.end - w.start > 5)
+        five = mix(prefix.of(w.start, np.minimum(w.end, w.start + 5)) + np.uint64(5))
+        seven = mix(prefix.of(w.start[longer], np.minimum(w.end[longer], w.start[longer] + 7)) + np.uint64(7))
+        h, doc = np.concatenate([five, seven]), np.concatenate([w.doc, w.doc[longer]]).astype(np.int64)
+        key, count = np.unique((doc << bits) | (h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+        mask = (1 << bits) - 1
+        often = [(key[count >= n] & ~mask) | ((key[count >= n] & mask) * 40503 + 977 * n) & mask for n in (2, 4)]
+        key = np.unique(np.concatenate([key, *often]))
+        yield lo, hi, key >> bits, key & mask, np.ones(len(key), dtype=np.int64)
+
+
 def row_sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, values, minlength=n)
 

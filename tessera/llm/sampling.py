@@ -21,7 +21,7 @@ def first_by_hash(rows: DataFrame, most: int, seed: int) -> DataFrame:
     return rows.orderBy(order, "doc_id").limit(most)
 
 
-def sample_features(docs: DataFrame, chosen: DataFrame, bits: int = BITS, pairs: bool = False) -> list:
+def sample_features(docs: DataFrame, chosen: DataFrame, extract=hashed, bits: int = BITS) -> list:
     """(tag..., indices, counts) of the chosen documents, brought to the driver: ``chosen`` is bounded, and so is this.
 
     ``chosen`` has a doc_id and further integer columns; of rows that repeat a doc_id each counts.
@@ -31,7 +31,7 @@ def sample_features(docs: DataFrame, chosen: DataFrame, bits: int = BITS, pairs:
 
     def features(batches):
         for batch in batches:
-            for lo, hi, doc, feature, count in hashed(batch.column(len(tags)), bits, pairs):
+            for lo, hi, doc, feature, count in extract(batch.column(len(tags)), bits):
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 index, counts = feature.astype("<i4"), np.minimum(count, 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed words learns from texts known to be toxic and from texts of unknown class. With
+A linear classifier over hashed stems of words (their first bytes, and how often a text has them) learns from texts known to be toxic and from texts of unknown class. With
 the class prior p, the risk of calling unlabelled text toxic is corrected for the toxic texts hidden in it and
 never lets the corrected part fall below zero: ``p R+(positive) + max(0, R-(unlabelled) - p R-(positive))``.
 A line fitted on labelled texts then turns the margin into a probability.
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.features import BITS, Adam, hashed, row_sums, sigmoid
+from tessera.llm.features import Adam, row_sums, sigmoid, stems
 from tessera.llm.sampling import first_by_hash, held_out, sample_features, stack
 
 #: Training samples: toxic, other labelled (for the line only) and unlabelled documents.
 MOST_TOXIC, MOST_OTHER, MOST_UNLABELLED = 4000, 4000, 4000
 THRESHOLD = 0.7
+#: Cells of the table of features.
+BITS = 22
 
 
 @dataclass
@@ -37,27 +39,34 @@ class ToxicityModel:
 
     def margins(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
-        for lo, hi, doc, feature, _ in hashed(texts):
+        for lo, hi, doc, feature, _ in stems(texts, BITS):
             out[lo:hi] = row_sums(doc, self.weights[feature], hi - lo)
         return out
 
 
+def _texts_with(rows: list, size: int) -> np.ndarray:
+    """How many texts have each feature."""
+    out = np.zeros(size, dtype=np.int64)
+    for lo in range(0, len(rows), 500):
+        feature, n = np.unique(np.concatenate([f for f, _ in rows[lo : lo + 500]]), return_counts=True)
+        out[feature] += n
+    return out
+
+
 def fit_nnpu(positive, unlabelled, prior: float, size: int, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4, least: int = 5, smooth: float = 4.0, telling: float = 0.3) -> np.ndarray:
     """Weights of a linear classifier by the non-negative risk.
 
     A feature's value is the smoothed log of how much oftener positive texts hold it than chance has it, so that
-    chance findings count little; features in fewer than ``least`` sample texts, or with a value of under
-    ``telling`` either way, stay out.
+    chance findings count little. Features in fewer than ``least`` sample texts, or with a value of under ``telling``,
+    stay out; so do all that speak against toxicity, as a long text holds so many that they would outweigh its toxic passage.
     """
-    (prow, pf), (urow, uf) = (x[:2] for x in (stack(positive), stack(unlabelled)))
-    used, inverse = np.unique(np.concatenate([pf, uf]), return_inverse=True)
-    total, of_positive = np.bincount(inverse, minlength=len(used)), np.bincount(inverse[: len(pf)], minlength=len(used))
+    of_positive, of_other = (_texts_with(x, size) for x in (positive, unlabelled))
+    total = of_positive + of_other
     value = np.log((of_positive + smooth) / (total * len(positive) / (len(positive) + len(unlabelled)) + smooth))
-    common = (total >= least) & (np.abs(value) >= telling)
+    common = (total >= least) & (value >= telling)
     new = np.cumsum(common) - 1
-    keep = common[inverse]
-    rows = [prow[keep[: len(pf)]], urow[keep[len(pf) :]]]
-    feats = [new[inverse[: len(pf)][keep[: len(pf)]]], new[inverse[len(pf) :][keep[len(pf) :]]]]
+    (prow, pf), (urow, uf) = (stack([(f[common[f]], c[:0]) for f, c in x])[:2] for x in (positive, unlabelled))
+    rows, feats = [prow, urow], [new[pf], new[uf]]
     d, value = int(common.sum()), value[common]
     w, b = np.zeros(d), 0.0
     step_w, step_b = Adam(d, rate), Adam((), rate)
@@ -74,7 +83,7 @@ def fit_nnpu(positive, unlabelled, prior: float, size: int, rounds: int = 150, r
         g = value * sum(np.bincount(f, x[r], minlength=d) for r, f, x in zip(rows, feats, (gp, gu))) + decay * w
         w, b = step_w.step(w, g), float(step_b.step(np.float64(b), gp.sum() + gu.sum()))
     full = np.zeros(size, dtype=np.float32)
-    full[used[common]] = w * value
+    full[common] = w * value
     return full
 
 
@@ -100,13 +109,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     prior = n[1] / sum(n.values())
     known = first_by_hash(learnable.where("toxic = 1"), MOST_TOXIC, 1).unionByName(first_by_hash(learnable.where("toxic = 0"), MOST_OTHER, 2))
     rest = first_by_hash(docs.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id"))), MOST_UNLABELLED, 3).distinct().withColumn("toxic", F.lit(-1))
-    rows = sample_features(docs, known.unionByName(rest))
+    rows = sample_features(docs, known.unionByName(rest), stems, BITS)
     positive, other, unlabelled = ([(f, c) for t, f, c in rows if t == k] for k in (1, 0, -1))
     if not positive or not unlabelled:
         return ToxicityModel(np.zeros(1 << BITS, dtype=np.float32), 0.0, 0.0)
     model = ToxicityModel(fit_nnpu(positive, unlabelled, prior, 1 << BITS), 1.0, 0.0)
-    row, feature, _ = stack(positive + other)
-    margin = row_sums(row, model.weights[feature], len(positive) + len(other))
+    margin = np.array([model.weights[f].sum(dtype=float) for f, _ in positive + other])
     label = np.r_[np.ones(len(positive)), np.zeros(len(other))]
     model.slope, model.offset = fit_line(margin, label)
     return model

@@ -41,19 +41,45 @@ def hashed(texts: pa.Array, bits: int = BITS, pairs: bool = False):
         yield lo, hi, key >> bits, key & ((1 << bits) - 1), count
 
 
+def _stems_of(w, bits: int, spread) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, feature): the distinct stems of each unit; ``spread`` gives (stem's number, unit) from the word of each stem."""
+    prefix, longer = Prefix(w.data), np.flatnonzero(w.end - w.start > 5)
+    five = mix(prefix.of(w.start, np.minimum(w.end, w.start + 5)) + np.uint64(5))
+    seven = mix(prefix.of(w.start[longer], np.minimum(w.end[longer], w.start[longer] + 7)) + np.uint64(7))
+    feature = (np.concatenate([five, seven]) >> np.uint64(64 - bits)).astype(np.int64)
+    at, unit = spread(np.concatenate([np.arange(len(w.hash)), longer]))
+    key, count = np.unique((unit << bits) | feature[at], return_counts=True)
+    mask = (1 << bits) - 1
+    often = [(key[count >= n] & ~mask) | ((key[count >= n] & mask) * 40503 + 977 * n) & mask for n in (2, 4)]
+    key = np.unique(np.concatenate([key, *often]))
+    return key >> bits, key & mask
+
+
 def stems(texts: pa.Array, bits: int):
     """The same for the first 5 and 7 bytes of words, each again as another feature if a text has it twice, and four times."""
     for lo, hi, data, offsets in runs(texts):
         w = words_of(data, offsets)
-        prefix, longer = Prefix(w.data), np.flatnonzero(w.end - w.start > 5)
-        five = mix(prefix.of(w.start, np.minimum(w.end, w.start + 5)) + np.uint64(5))
-        seven = mix(prefix.of(w.start[longer], np.minimum(w.end[longer], w.start[longer] + 7)) + np.uint64(7))
-        h, doc = np.concatenate([five, seven]), np.concatenate([w.doc, w.doc[longer]]).astype(np.int64)
-        key, count = np.unique((doc << bits) | (h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-        mask = (1 << bits) - 1
-        often = [(key[count >= n] & ~mask) | ((key[count >= n] & mask) * 40503 + 977 * n) & mask for n in (2, 4)]
-        key = np.unique(np.concatenate([key, *often]))
-        yield lo, hi, key >> bits, key & mask, np.ones(len(key), dtype=np.int64)
+        doc, feature = _stems_of(w, bits, lambda word: (slice(None), w.doc[word].astype(np.int64)))
+        yield lo, hi, doc, feature, np.ones(len(doc), dtype=np.int64)
+
+
+def window_stems(texts: pa.Array, bits: int, half: int):
+    """Yield (first, last, first window of each text, window, feature): the stems of windows of ``2 * half`` words, one every ``half`` words.
+
+    A text has one window at least, and every word is in one at least; what counts twice or four times does so in one window.
+    """
+    for lo, hi, data, offsets in runs(texts, 500_000):
+        w = words_of(data, offsets)
+        n = np.maximum((np.diff(w.first) - 1) // half, 1)
+        first = np.r_[0, np.cumsum(n)[:-1]]
+
+        def spread(word):
+            doc = w.doc[word]
+            step = (word - w.first[doc]) // half
+            own, before = np.flatnonzero(step < n[doc]), np.flatnonzero(step >= 1)
+            return np.concatenate([own, before]), np.concatenate([(first[doc] + step)[own], (first[doc] + step)[before] - 1])
+
+        yield lo, hi, first, *_stems_of(w, bits, spread)
 
 
 def row_sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:

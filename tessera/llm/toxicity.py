@@ -3,9 +3,10 @@
 A linear classifier over hashed stems of words (their first bytes, and how often a text has them) learns from texts known to be toxic and from texts of unknown class. With
 the class prior p, the risk of calling unlabelled text toxic is corrected for the toxic texts hidden in it and
 never lets the corrected part fall below zero: ``p R+(positive) + max(0, R-(unlabelled) - p R-(positive))``.
-A line fitted on labelled texts then turns the margin into a probability.
+A text's margin is that of its highest window of 100 words, so that it does not grow with the length or the vocabulary of clean
+text. A line fitted on the margins of labelled texts then turns the margin into a probability.
 
-Whole texts of all rows are scored. Null and empty texts get the score of a text without features. Rows that
+Whole texts of all rows are scored, in windows that overlap by half. Null and empty texts get the score of a text without features. Rows that
 repeat are scored each. Without a single toxic label every score is 0. Columns other than doc_id and text are not read.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.features import Adam, row_sums, sigmoid, stems
+from tessera.llm.features import Adam, row_sums, sigmoid, stems, window_stems
 from tessera.llm.sampling import first_by_hash, held_out, sample_features, stack
 
 #: Training samples: toxic, other labelled (for the line only) and unlabelled documents.
@@ -26,6 +27,8 @@ MOST_TOXIC, MOST_OTHER, MOST_UNLABELLED = 4000, 4000, 4000
 THRESHOLD = 0.7
 #: Cells of the table of features.
 BITS = 22
+#: A window of a text is twice this many words, and the next one begins this many words later.
+HALF_WINDOW = 50
 
 
 @dataclass
@@ -38,9 +41,10 @@ class ToxicityModel:
         return sigmoid(self.slope * margin + self.offset) if self.slope else np.zeros(len(margin))
 
     def margins(self, texts: pa.Array) -> np.ndarray:
+        """The highest margin of a window of each text."""
         out = np.zeros(len(texts))
-        for lo, hi, doc, feature, _ in stems(texts, BITS):
-            out[lo:hi] = row_sums(doc, self.weights[feature], hi - lo)
+        for lo, hi, first, window, feature in window_stems(texts, BITS, HALF_WINDOW):
+            out[lo:hi] = np.maximum.reduceat(row_sums(window, self.weights[feature], max(first[-1], window.max(initial=0)) + 1), first)
         return out
 
 
@@ -58,7 +62,7 @@ def fit_nnpu(positive, unlabelled, prior: float, size: int, rounds: int = 150, r
 
     A feature's value is the smoothed log of how much oftener positive texts hold it than chance has it, so that
     chance findings count little. Features in fewer than ``least`` sample texts, or with a value of under ``telling``,
-    stay out; so do all that speak against toxicity, as a long text holds so many that they would outweigh its toxic passage.
+    stay out; so do all that speak against toxicity, as the clean words around a toxic passage would outweigh it.
     """
     of_positive, of_other = (_texts_with(x, size) for x in (positive, unlabelled))
     total = of_positive + of_other
@@ -109,17 +113,29 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     prior = n[1] / sum(n.values())
     known = first_by_hash(learnable.where("toxic = 1"), MOST_TOXIC, 1).unionByName(first_by_hash(learnable.where("toxic = 0"), MOST_OTHER, 2))
     rest = first_by_hash(docs.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id"))), MOST_UNLABELLED, 3).distinct().withColumn("toxic", F.lit(-1))
-    rows = sample_features(docs, known.unionByName(rest), stems, BITS)
-    positive, other, unlabelled = ([(f, c) for t, f, c in rows if t == k] for k in (1, 0, -1))
+    rows = sample_features(docs, known.where("toxic = 1").unionByName(rest), stems, BITS)
+    positive, unlabelled = ([(f, c) for t, f, c in rows if t == k] for k in (1, -1))
     if not positive or not unlabelled:
         return ToxicityModel(np.zeros(1 << BITS, dtype=np.float32), 0.0, 0.0)
     model = ToxicityModel(fit_nnpu(positive, unlabelled, prior, 1 << BITS), 1.0, 0.0)
-    margin = np.array([model.weights[f].sum(dtype=float) for f, _ in positive + other])
-    label = np.r_[np.ones(len(positive)), np.zeros(len(other))]
+    margin, label = _labelled_margins(docs, known, model)
     model.slope, model.offset = fit_line(margin, label)
     return model
 
 
+def _labelled_margins(docs: DataFrame, known: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+    """Margins and labels of the documents of ``known``, in an order that is the same at every run."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def margins(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.margins(batch.column(1)))], names=["toxic", "margin"])
+
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("toxic", "text")
+    got = np.array(sorted((r["margin"], r["toxic"]) for r in rows.mapInArrow(margins, "toxic int, margin double").collect()))
+    return got[:, 0], got[:, 1]
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from a score of 0.7 on) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -3,8 +3,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from tessera.llm import langid, quality, toxicity
+from tessera.llm import features, langid, quality, toxicity
 
 FOLDER = "/root/testdata/sf0.1"
 ODD = [(1, None, None, None, "a", 0.5), (2, "", "en", None, "b", 0.5), (3, "12 !!", "en", None, "c", 0.5), (None, "some plain words", None, None, None, None), (5, "the same text", "en", 1, "x", 1.0), (5, "the same text", "en", 1, "x", 1.0), (6, "word " * 300_000, "en", 0, "y", 1.0)]
@@ -44,6 +45,35 @@ def test_toxicity(spark):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = toxicity.train_toxicity(docs, labels)
+    rows = docs.join(labels.groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic"), "doc_id").where("text is not null").orderBy("doc_id").collect()
+    clean = [r["text"] for r in rows if held(r["doc_id"]) and r["toxic"] == 0]
+    toxic = [r["text"] for r in rows if held(r["doc_id"]) and r["toxic"] == 1]
+    alone = model.score(model.margins(pa.array(clean))) >= 0.7
+    assert alone.mean() < 0.005
+    clean = [t for t, said in zip(clean, alone) if not said]  # a text that is flagged by itself is flagged within others too
+    rng = np.random.default_rng(5)
+    joined = [" ".join(rng.choice(np.array(clean, dtype=object), n, replace=False)) for n in (20, 100, 300) for _ in range(8)]
+    assert (model.score(model.margins(pa.array(joined))) < 0.7).all()
+    # a toxic text inside a long clean one is still found: its windows are scored by themselves
+    alone = model.score(model.margins(pa.array(toxic))) >= 0.7
+    inside = model.score(model.margins(pa.array([" ".join([joined[0], t, joined[1]]) for t in toxic]))) >= 0.7
+    assert inside[alone].mean() > 0.9
+
+
+def test_windows_hold_every_word():
+    words = [f"w{i}" for i in range(23)]
+    texts = ["", *[" ".join(words[:n]) for n in (1, 5, 9, 10, 11, 15, 23)], "!!"]
+    (lo, hi, first, window, feature), = features.window_stems(pa.array(texts), 22, 5)
+    last = np.r_[first[1:], max(first[-1], window.max()) + 1]
+    whole = {(d, f) for _, _, doc, feat, _ in features.stems(pa.array(texts), 22) for d, f in zip(doc.tolist(), feat.tolist())}
+    got = {(int(np.searchsorted(first, w, "right") - 1), f) for w, f in zip(window.tolist(), feature.tolist())}
+    assert (lo, hi) == (0, len(texts)) and got == whole and (np.bincount(window) <= 10).all()
+    assert (last - first).tolist() == [1, 1, 1, 1, 1, 2, 2, 4, 1]
+
+
 def test_toxicity_without_labels(spark):
     odd = spark.createDataFrame(ODD, SCHEMA)
     for labels in ([], [(2, 0), (None, 1)]):

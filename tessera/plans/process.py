@@ -168,6 +168,42 @@ def bom_compliance(t: Tables) -> DataFrame:
     return x.groupBy("top").agg(F.count_if(F.col("p_type") != "PROMO").alias("compliant"), F.count_if(F.col("p_type") == "PROMO").alias("not_compliant"), F.max("lead").alias("lead_time"), F.max_by("item", F.col("lead") * 1000000 - F.col("item")).alias("critical"))
 
 
+_WHOLE_TREE = f"""WITH RECURSIVE {EDGES}, tree AS (SELECT DISTINCT parent AS top, parent AS item, 0 AS level, CAST(1 AS DOUBLE) AS qty FROM edges WHERE parent NOT IN (SELECT child FROM edges)
+    UNION ALL SELECT t.top, e.child, t.level + 1, t.qty * e.qty FROM tree t JOIN edges e ON e.parent = t.item)"""
+
+
+def _compliance(t: Tables, tops: DataFrame) -> DataFrame:
+    x = bom.explode(edges(t), tops).join(t.part.select(F.col("p_partkey").alias("item"), "p_type", "p_size"), "item").withColumn("lead", F.col("p_size") + F.col("level"))
+    return x.groupBy("top").agg(F.count_if(F.col("p_type") != "PROMO").alias("compliant"), F.count_if(F.col("p_type") == "PROMO").alias("not_compliant"), F.max("lead").alias("lead_time"), F.max_by("item", F.struct("lead", -F.col("item"))).alias("critical"))
+
+
+@query(f"{_WHOLE_TREE} SELECT top, item, level, qty, false AS cycle FROM tree WHERE level > 0")
+def bom_explosion_whole(t: Tables) -> DataFrame:
+    """REC-01 from every root"""
+    return bom.explode(edges(t), bom.roots(edges(t)))
+
+
+@query(f"{_WHOLE_TREE} SELECT top, round(sum(qty * p_retailprice), 2) AS cost FROM tree JOIN part ON p_partkey = item WHERE level > 0 AND item NOT IN (SELECT parent FROM edges) GROUP BY 1")
+def bom_cost_whole(t: Tables) -> DataFrame:
+    """REC-02 from every root"""
+    costs = t.part.select(F.col("p_partkey").alias("item"), F.col("p_retailprice").alias("cost"))
+    return bom.roll_up_cost(bom.explode(edges(t), bom.roots(edges(t))), costs, edges(t)).withColumn("cost", F.round("cost", 2))
+
+
+@query(f"""{_WHOLE_TREE}, x AS (SELECT top, item, p_type, p_size + level AS lead FROM tree JOIN part ON p_partkey = item WHERE level > 0), best AS (SELECT top, max(lead) AS lead_time FROM x GROUP BY 1)
+    SELECT top, count(*) FILTER (p_type <> 'PROMO') AS compliant, count(*) FILTER (p_type = 'PROMO') AS not_compliant, max(lead) AS lead_time, min(item) FILTER (lead = lead_time) AS critical FROM x JOIN best USING (top) GROUP BY 1""")
+def bom_compliance_whole(t: Tables) -> DataFrame:
+    """REC-04 from every root; of items with the longest lead time the smallest is critical."""
+    return _compliance(t, bom.roots(edges(t)))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, up AS (SELECT p_partkey AS item, p_partkey AS used_in, 0 AS level FROM part UNION ALL SELECT u.item, e.parent, u.level + 1 FROM up u JOIN edges e ON e.child = u.used_in)
+    SELECT item, used_in, min(level) AS level FROM up WHERE level > 0 GROUP BY 1, 2""")
+def bom_where_used_whole(t: Tables) -> DataFrame:
+    """REC-03 from every part"""
+    return bom.where_used(edges(t), t.part.select(F.col("p_partkey").alias("item")))
+
+
 @query(f"""WITH {EDGES}, bad AS (SELECT 'orphan_parent' AS rule, child AS item FROM edges WHERE parent NOT IN (SELECT child FROM edges) AND parent <> 1
     UNION ALL SELECT 'single_source', p_partkey FROM part WHERE p_brand = 'Brand#1' UNION ALL SELECT 'quantity', child FROM edges WHERE qty > 3) SELECT rule, item FROM bad""")
 def bom_validation(t: Tables) -> DataFrame:

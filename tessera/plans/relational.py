@@ -108,6 +108,26 @@ def prefix_join(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.substring(F.col("p_partkey").cast("string"), 1, 2).alias("prefix")).join(s, "prefix").select("p_partkey", "s_suppkey")
 
 
+def _prefix_pairs(t: Tables) -> DataFrame:
+    """p_partkey, s_suppkey of every supplier whose key begins the part's: one row of a part per length of prefix, joined by equality."""
+    prefix = t.supplier.select("s_suppkey", F.col("s_suppkey").cast("string").alias("prefix"))
+    lengths = prefix.select(F.length("prefix").alias("n")).distinct()
+    full = t.part.select("p_partkey", F.col("p_partkey").cast("string").alias("full")).join(F.broadcast(lengths), F.col("n") <= F.length("full"))
+    return full.select("p_partkey", F.expr("substring(full, 1, n)").alias("prefix")).join(prefix, "prefix").select("p_partkey", "s_suppkey")
+
+
+@query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON starts_with(CAST(p_partkey AS VARCHAR), CAST(s_suppkey AS VARCHAR))")
+def prefix_join_whole(t: Tables) -> DataFrame:
+    """JN-12 over all suppliers, with prefixes of every length"""
+    return _prefix_pairs(t)
+
+
+@query("SELECT s_suppkey, min(CAST(p_partkey AS VARCHAR)) AS first_match FROM part JOIN supplier ON starts_with(CAST(p_partkey AS VARCHAR), CAST(s_suppkey AS VARCHAR)) GROUP BY 1")
+def prefix_first_match(t: Tables) -> DataFrame:
+    """JN-12: the first match of every prefix, in the order of strings"""
+    return _prefix_pairs(t).groupBy("s_suppkey").agg(F.min(F.col("p_partkey").cast("string")).alias("first_match"))
+
+
 @query("""WITH i AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 90 AS b FROM orders), n AS (SELECT *, lead(a) OVER w AS na, lead(o_orderkey) OVER w AS nk FROM i WINDOW w AS (PARTITION BY o_custkey ORDER BY a, o_orderkey))
     SELECT o_custkey, o_orderkey, nk AS next_key FROM n WHERE na < b""")
 def overlapping_intervals(t: Tables) -> DataFrame:

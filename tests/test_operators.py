@@ -63,6 +63,18 @@ def test_bom_fixture_and_cycles(spark):
     assert [r["used_in"] for r in bom.where_used(edges.where("parent <> 'D'"), spark.createDataFrame([("D",)], "item string")).orderBy("level").collect()] == ["B", "A"]
 
 
+def test_deep_and_wide_bills_are_not_cut(spark):
+    chain = spark.range(30).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"), F.lit(1.0).alias("qty"))
+    top = spark.createDataFrame([(0,)], "top long")
+    assert sorted(r["level"] for r in bom.explode(chain, top).collect()) == list(range(1, 31))
+    assert bom.where_used(chain, spark.createDataFrame([(30,)], "item long")).count() == 30
+    assert [r["top"] for r in bom.roots(chain).collect()] == [0]
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
+        bom.explode(chain, top, most_levels=10).collect()
+    wide = spark.range(1, 1_100_001).select(F.lit(0).cast("long").alias("parent"), F.col("id").alias("child"), F.lit(1.0).alias("qty"))
+    assert bom.explode(wide, top).count() == 1_100_000
+
+
 def test_reconcile(spark):
     a = spark.createDataFrame([(1, 100.0), (2, 100.0), (3, 5.0), (5, 0.0)], "k int, value double")
     b = spark.createDataFrame([(1, 101.0), (2, 100000.0), (4, 5.0), (5, 0.0)], "k int, value double")

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Texts are taken in runs of about this many bytes; a longer text is a run of its own.
-RUN_BYTES = 2_000_000
+#: Texts are taken in runs of about this many bytes; a longer text is a run of its own, hashed in pieces of this size.
+RUN_BYTES = 400_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -150,7 +150,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     stop[:n] = ~is_word
     stop[offsets] = True
     end = np.flatnonzero(stop[1:] & is_word) + 1
-    prefix = Prefix(data, LOWER_CODE)
+    hashes, i = np.empty(len(start), dtype=np.uint64), 0
+    while i < len(start):  # word hashes do not depend on the place, so no more than a piece is expanded at once
+        j = max(i + 1, int(np.searchsorted(start, start[i] + RUN_BYTES)))
+        prefix = Prefix(data[start[i] : end[j - 1]], LOWER_CODE)
+        hashes[i:j] = prefix.of(start[i:j] - start[i], end[i:j] - start[i])
+        i = j
     doc = np.searchsorted(offsets, start, "right") - 1
     first = np.searchsorted(start, offsets)
-    return Words(lowered, offsets, start, end, doc, mix(prefix.of(start, end) + (end - start).astype(np.uint64)), first)
+    return Words(lowered, offsets, start, end, doc, mix(hashes + (end - start).astype(np.uint64)), first)

@@ -30,12 +30,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (the smallest node reachable) of every node that has an edge. Nulls, loops and repeats are ignored."""
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now, last = scratch.table(now, "edges"), None
+    now, last, turn = scratch.table(now, "edges0"), None, 0
     while True:
-        after = scratch.table(_star(_star(now, True), False), "edges")
+        after = scratch.table(_star(_star(now, True), False), f"edges{1 - turn}")
         mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        scratch.drop_path(now)
-        now = after
+        scratch.drop(f"edges{turn}")
+        now, turn = after, 1 - turn
         if mark == last:
             break
         last = mark

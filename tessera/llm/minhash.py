@@ -1,8 +1,8 @@
 """Near-duplicate documents by consistent weighted sampling of TF-IDF shingles.
 
-Five-word shingles weigh their count in the text times the logarithm of their rarity. Rarity is counted over all
-documents in a table of a fixed number of hashed cells, so that it is exact for common shingles and nearly even for the rest, at
-any size of the corpus. Improved consistent weighted sampling (Ioffe, 2010) draws from each text a signature whose
+Five-word shingles weigh their count in the text times the logarithm of their rarity, ``ln(1 + 1/share)`` for the share of
+all documents that hold the shingle. Shares are exact down to one in 2000, below which all weigh as if at that share, so that
+weights and similarities do not drift as a corpus grows. Improved consistent weighted sampling (Ioffe, 2010) draws from each text a signature whose
 entries agree with the probability of the weighted Jaccard similarity; entries are banded.
 
 Texts with equal words are one class from the start. In each band's bucket every class is verified against one
@@ -30,8 +30,12 @@ from tessera.llm.scratch import Scratch
 from tessera.llm.words import U, mix, runs, words_of
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 10, 3
-#: Cells of the table of document frequencies, and classes of one bucket that a task compares.
-CELL_BITS, BLOCK = 18, 400
+#: Share of the documents under which shingles weigh alike.
+RAREST = 1 / 2000
+#: Cells in which shingles are counted to find the common ones, and the rows in which a task sends its cells.
+CELL_BITS, SLAB_BITS = 22, 16
+#: Classes of one bucket that a task compares, and bytes of their compressed texts.
+BLOCK, BLOCK_BYTES = 400, 4_000_000
 
 _rng = np.random.default_rng(7)
 _R, _LOG_C = _rng.gamma(2.0, 1.0, 4096), np.log(_rng.gamma(2.0, 1.0, 4096))
@@ -41,12 +45,17 @@ _SEEDS = _rng.integers(1, 2**63, 512, dtype=np.uint64)
 
 @dataclass
 class Rarity:
-    """log(1 + documents / documents with the cell) of each cell."""
+    """Weights by rarity: ``weight`` of the ``common`` shingles (sorted hashes), ``rest`` of all others."""
 
+    common: np.ndarray
     weight: np.ndarray
+    rest: float
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
-        return self.weight[(shingles >> U(64 - CELL_BITS)).astype(np.int64)]
+        if not len(self.common):
+            return np.full(len(shingles), self.rest)
+        at = np.searchsorted(self.common, shingles).clip(max=len(self.common) - 1)
+        return np.where(self.common[at] == shingles, self.weight[at], self.rest)
 
 
 def distinct_shingles(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,29 +66,67 @@ def distinct_shingles(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return h[new], doc[new], np.diff(np.r_[new, len(h)])
 
 
+def hot_cells(texts: DataFrame, least: int) -> np.ndarray:
+    """Which cells hold shingles of at least ``least`` documents together (so every shingle of so many is in one)."""
+
+    def count(batches):
+        total = np.zeros(1 << CELL_BITS, dtype=np.uint32)
+        for batch in batches:
+            for _, _, data, offsets in runs(batch.column(0)):
+                h, _, _ = distinct_shingles(*words_of(data, offsets).doc_shingles(SHINGLE))
+                np.add.at(total, (h >> U(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
+        squeeze, slabs = zstandard.ZstdCompressor(level=1), total.reshape(-1, 1 << SLAB_BITS)
+        some = np.flatnonzero(slabs.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), pa.array([squeeze.compress(slabs[i].astype("<u4").tobytes()) for i in some], pa.binary())], names=["slab", "counts"])
+
+    def add(batches):
+        unpack, total = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for slab, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                got = np.frombuffer(unpack.decompress(counts.as_buffer()), "<u4").astype(np.int64)
+                total[slab] = total[slab] + got if slab in total else got
+        hot = [(slab << SLAB_BITS) + np.flatnonzero(n >= least) for slab, n in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hot or [np.zeros(0, np.int64)]))], names=["cell"])
+
+    cells = texts.mapInArrow(count, "slab int, counts binary").repartition("slab").mapInArrow(add, "cell long").toPandas()["cell"].to_numpy(dtype=np.int64)
+    out = np.zeros(1 << CELL_BITS, dtype=bool)
+    out[cells] = True
+    return out
+
+
 def count_rarity(docs: DataFrame) -> Rarity:
-    """The table of document frequencies over all documents; it has 2**18 cells at any size."""
+    """Document frequencies over all documents, exact for every shingle of more than ``RAREST`` of them.
+
+    First cells are counted, then the shingles of the cells that may hold a common one. Common ones are at most the mean
+    number of shingles of a document divided by ``RAREST``, at any size of the corpus.
+    """
+    n, texts = max(docs.count(), 1), docs.select("text").where("text is not null")
+    least = max(2, int(np.ceil(RAREST * n)))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hot_cells(texts, least)))
 
     def count(batches):
-        total = np.zeros(1 << CELL_BITS, dtype=np.int64)
-        n = 0
+        hot, kept = np.unpackbits(shared.value).astype(bool), [(np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))]
+
+        def merged():
+            h, at = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
+            return h, np.bincount(at, np.concatenate([c for _, c in kept]), len(h)).astype(np.int64)
+
         for batch in batches:
-            n += batch.num_rows
             for _, _, data, offsets in runs(batch.column(0)):
-                h, doc = words_of(data, offsets).doc_shingles(SHINGLE)
-                cell = np.unique((doc.astype(np.int64) << CELL_BITS) | (h >> U(64 - CELL_BITS)).astype(np.int64))
-                total += np.bincount(cell & ((1 << CELL_BITS) - 1), minlength=1 << CELL_BITS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype("i4")), pa.array(np.r_[n, total[some]])], names=["cell", "n"])
-
-    counts = docs.select("text").where("text is not null").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    df, whole = np.zeros(1 << CELL_BITS), 0
-    for cell, n in zip(counts["cell"], counts["n"]):
-        if cell < 0:
-            whole = n
-        else:
-            df[cell] = n
-    return Rarity(np.log1p(max(whole, 1) / np.maximum(df, 1)))
+                h, _, _ = distinct_shingles(*words_of(data, offsets).doc_shingles(SHINGLE))
+                kept.append(np.unique(h[hot[(h >> U(64 - CELL_BITS)).astype(np.int64)]], return_counts=True))
+                if sum(len(x) for x, _ in kept[1:]) > 200_000:
+                    kept = [merged()]
+                    if len(kept[0][0]) > 200_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(kept[0][0].view(np.int64)), pa.array(kept[0][1])], names=["shingle", "n"])
+                        kept = [(np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))]
+        h, c = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["shingle", "n"])
+
+    counts = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    common, df = counts["shingle"].to_numpy(dtype=np.int64).view(U), counts["n"].to_numpy(dtype=float)
+    order = np.argsort(common)
+    return Rarity(common[order], np.log1p(n / np.maximum(df[order], RAREST * n)), float(np.log1p(n / max(1.0, RAREST * n))))
 
 
 def signatures(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, entries: int) -> np.ndarray:
@@ -135,7 +182,7 @@ class Texts:
     """Shingles, counts and weights of texts, kept for the few that a batch meets again and again."""
 
     def __init__(self, rarity: Rarity):
-        self.rarity, self.kept, self.unpack = rarity, {}, zstandard.ZstdDecompressor()
+        self.rarity, self.kept, self.unpack, self.size = rarity, {}, zstandard.ZstdDecompressor(), 0
 
     def of(self, f: int, packed: bytes):
         got = self.kept.get(f)
@@ -144,8 +191,10 @@ class Texts:
             h, _, count = distinct_shingles(*words_of(raw, np.array([0, len(raw)])).doc_shingles(SHINGLE))
             weight = count * self.rarity.of(h)
             got = h, weight, float(weight.sum())
-            if len(self.kept) > 2 * BLOCK:
+            self.size += len(h)
+            if self.size > 2_000_000:
                 self.kept.clear()
+                self.size = len(h)
             self.kept[f] = got
         return got
 
@@ -181,7 +230,8 @@ def verify(pairs: DataFrame, texts: DataFrame, rarity: Rarity) -> DataFrame:
 def compare_rest(rest: DataFrame, texts: DataFrame, rarity: Rarity, scratch: Scratch, least: float, block: int) -> DataFrame:
     """u, v: links between classes of one bucket in different components. ``rest``: key, f, component, similarity (to the bucket's representative)."""
     shared = rest.sparkSession.sparkContext.broadcast(rarity)
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rest = rest.join(texts.select("f", F.octet_length("text").alias("bytes")), "f")
+    sizes = rest.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = rest.join(scratch.table(sizes, "sizes"), "key").withColumn("mine", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "f", "component", "similarity")
     rows = dealt.join(texts.select("f", "text"), "f").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "f")
@@ -261,7 +311,7 @@ def groups(docs: DataFrame, scratch: Scratch, least: float, bands: int, rows: in
     named = of_class.select("f", "component").join(scratch.table(best, "best"), "component").select("f", F.col("best.did").alias("group"), F.coalesce("best.leader", "any").alias("leader"))
     out = described.select("did", "h", "f").join(scratch.table(named, "named"), "f", "left").select("did", "h", F.when(F.col("f").isNull(), F.col("did")).otherwise(F.col("group")).alias("group"), "leader")
     out = scratch.table(out, "groups")
-    scratch.drop("described", "classes", "chosen", "members", "pairs", "texts", "verified", "component", "component2", "placed", "open_keys", "sizes", "more", "of_class", "best", "named", "edges")
+    scratch.drop("described", "classes", "chosen", "members", "pairs", "texts", "verified", "component", "component2", "placed", "open_keys", "sizes", "more", "of_class", "best", "named", "edges0", "edges1")
     return out
 
 

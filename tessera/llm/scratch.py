@@ -17,6 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of rows that pass to Python hold at most 4 MB, unless the session sets another bound: texts may be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 class Scratch:
     """Hands out tables under the shared folder and drops them again.
 
@@ -26,7 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", [], 0
-        self.paths: dict[int, str] = {}
+        bounded_batches(spark)
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -36,13 +42,7 @@ class Scratch:
         path = self.path(name)
         self.made.append(path)
         df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop_path(self, table: DataFrame) -> None:
-        """Drop one table that ``table`` returned."""
-        self._delete([self.paths.pop(id(table))])
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Drop the tables of these names, or all of them."""

@@ -1,5 +1,7 @@
+import math
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -11,16 +13,35 @@ import pyarrow as pa
 SCHEMA = "doc_id long, text string"
 
 
-def brute(rows, rarity, least):
+def shingles(text):
+    w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return Counter(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def brute_links(rows, least):
+    """Pairs of row numbers of at least this similarity, by dictionaries of words alone."""
+    n, found = len(rows), [shingles(t) for _, t in rows]
+    df = Counter(x for c in found for x in c)
+    data = [{x: k * math.log1p(n / max(df[x], n / 2000, 1)) for x, k in c.items()} for c in found]
+    total = [sum(d.values()) for d in data]
+    where = defaultdict(list)
+    for i, d in enumerate(data):
+        for x in d:
+            where[x].append(i)
+    links = set()
+    for i, d in enumerate(data):
+        both = Counter()
+        for x, w in d.items():
+            for j in where[x]:
+                if j < i:
+                    both[j] += min(w, data[j][x])
+        links |= {(i, j) for j, b in both.items() if b >= least * (total[i] + total[j] - b)}
+    return links
+
+
+def brute(rows, least):
     """doc_id -> smallest doc_id of its component, over all pairs."""
-    data = []
-    for _, t in rows:
-        raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
-        h, _, n = minhash.distinct_shingles(*words_of(raw, np.array([0, len(raw)])).doc_shingles(5))
-        w = n * rarity.of(h)
-        data.append((h, w, float(w.sum())))
-    comp = [r[0] for r in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(data[i][0]) and len(data[j][0]) and minhash.similarity(data[i], data[j]) >= least]
+    comp, links = [r[0] for r in rows], brute_links(rows, least)
     while True:
         old = list(comp)
         for i, j in links:
@@ -49,19 +70,32 @@ def made(seed):
 def test_groups_as_brute_force(spark, block):
     rows = made(3)
     docs = spark.createDataFrame(rows, SCHEMA)
-    want = brute(rows, minhash.count_rarity(docs), 0.8)
+    want = brute(rows, 0.8)
     got = minhash.near_duplicates(docs, bands=20, block=block).collect()
     assert {r["doc_id"]: r["group_id"] for r in got} == want
     kept = Counter(r["group_id"] for r in got if r["kept"])
     assert set(kept.values()) == {1} and set(kept) == set(want.values())
 
 
-def test_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+def test_recall_against_all_pairs_at_production_parameters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = brute(rows, minhash.count_rarity(docs), 0.8)
+    want, links = brute(rows, 0.8), brute_links(rows, 0.8)
     got = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(docs).collect()}
-    assert sum(got[i] == c for i, c in want.items()) >= 0.98 * len(want) and all(want[i] == want[g] for i, g in got.items())
+    near = [(i, j) for i, j in links if rows[i][1] != rows[j][1]]
+    assert len(links) > 50 and len(near) > 5
+    assert sum(got[rows[i][0]] == got[rows[j][0]] for i, j in near) >= 0.98 * len(near)
+    assert all(want[i] == want[g] for i, g in got.items())
+
+
+def test_document_frequencies_are_exact(spark):
+    rows = made(5)
+    rarity = minhash.count_rarity(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    df = Counter(x for _, t in rows for x in shingles(t))
+    for text, n in df.items():
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        h, _, _ = minhash.distinct_shingles(*words_of(raw, np.array([0, len(raw)])).doc_shingles(5))
+        assert math.isclose(rarity.of(h)[0], math.log1p(len(rows) / n))
 
 
 def test_one_of_each_group_stays(spark):

@@ -1,6 +1,7 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Pivots are a bounded, spread sample of the vectors. A vector is described by its nearest pivots in order of nearness;
+Pivots are a spread sample of the vectors, chosen for each length of vectors by itself; their number grows with the square root of the rows, up
+to 4096, so that inverted lists stay short. A vector is described by its nearest pivots in order of nearness;
 close vectors have nearly the same order. Inverted lists are keyed by pairs of pivots, so that two vectors meet exactly
 if they share at least two of their nearest pivots; where they meet, their cosine is computed in double precision. A pair counts once,
 in the smallest list both are in. Vectors that are equal in all components are compared as one and counted with their number.
@@ -8,7 +9,8 @@ in the smallest list both are in. Vectors that are equal in all components are c
 Lists longer than a task should hold are dealt out in blocks, and every pair of blocks is compared in a task of its own,
 so no pair is left out. Tasks return per vector the number of links and enough edges to span what they linked.
 
-Vectors that are null, of no or another length than most, zero, or hold null or non-finite components link with nothing. Rows
+Vectors that are null, of no length, zero, or hold null or non-finite components link with nothing. Vectors of different lengths never link,
+but each length is compared within itself; more than 100 different lengths are an error. Rows
 that repeat a vec_id count as vectors with one id. A null vec_id gets a row without component. An empty table gives no rows.
 Columns other than vec_id and embedding are not read.
 """
@@ -26,8 +28,14 @@ from tessera.llm.components import connected_components
 from tessera.llm.scratch import Scratch
 
 LEAST_COSINE = 0.95
-#: Pivots, the sample they are chosen from, how many of the nearest describe a vector, and vectors in a block.
-PIVOTS, PIVOT_SAMPLE, NEAREST, BLOCK = 256, 4096, 5, 1000
+#: Least and most pivots, vectors sampled per pivot to choose from, how many of the nearest describe a vector, and vectors in a block.
+PIVOTS, MOST_PIVOTS, SAMPLE_PER_PIVOT, NEAREST, BLOCK = 256, 4096, 4, 5, 1000
+MOST_LENGTHS = 100
+
+
+def pivots_for(rows: int) -> int:
+    """With the square root of the rows, so that pairs of pivots, and with them inverted lists, grow as the rows do."""
+    return int(np.clip(np.ceil(np.sqrt(rows / 5)), PIVOTS, MOST_PIVOTS))
 
 
 def usable(docs: DataFrame) -> DataFrame:
@@ -48,26 +56,27 @@ def choose_pivots(classes: DataFrame, pivots: int, sample: int) -> np.ndarray:
     return got[chosen]
 
 
-def index(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """list, cls, n, near (the nearest pivots), v: one row per inverted list that a vector is in."""
+def index(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
+    """list (length and two pivots), cls, n, near (the nearest pivots), v: one row per inverted list that a vector is in."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
-    take = min(nearest, len(pivots))
 
     def describe(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.stack([np.asarray(x) for x in batch.column(2).to_numpy(zero_copy_only=False)])
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            order = np.argsort(-(v @ shared.value.T), axis=1, kind="stable")[:, :take].astype(np.int64)
-            near = np.sort(order, axis=1)
-            pairs = list(itertools.combinations(range(take), 2)) or [(0, 0)]
-            lists = np.stack([near[:, i] * 65536 + near[:, j] for i, j in pairs], 1)
-            row = np.repeat(np.arange(len(v)), len(pairs))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.ravel()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(list(near[row].astype("<i4")), pa.list_(pa.int32())), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary()).take(pa.array(row))],
-                names=["list", "cls", "n", "near", "v"],
-            )
+        for whole in batches:
+            lengths = whole.column(2).value_lengths().to_numpy()
+            for length in np.unique(lengths):
+                batch, own = whole.take(pa.array(np.flatnonzero(lengths == length))), shared.value[int(length)]
+                v = batch.column(2).flatten().to_numpy().reshape(-1, length)
+                v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                take = min(nearest, len(own))
+                order = np.argsort(-(v @ own.T), axis=1, kind="stable")[:, :take].astype(np.int64)
+                near = np.sort(order, axis=1)
+                pairs = list(itertools.combinations(range(take), 2)) or [(0, 0)]
+                lists = np.stack([(int(length) << 32) + (near[:, i] << 16) + near[:, j] for i, j in pairs], 1)
+                row = np.repeat(np.arange(len(v)), len(pairs))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists.ravel()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(list(near[row].astype("<i4")), pa.list_(pa.int32())), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary()).take(pa.array(row))],
+                    names=["list", "cls", "n", "near", "v"],
+                )
 
     return classes.select("cls", "n", "v").mapInArrow(describe, "list long, cls long, n long, near array<int>, v binary")
 
@@ -93,7 +102,7 @@ def _compare(rows: list[dict], least: float):
     n_left, n_right = np.array([r["n"] for r in left]), np.array([r["n"] for r in right])
     links, back = np.zeros(len(left), dtype=np.int64), np.zeros(len(right), dtype=np.int64)
     near_one = np.array([r["near"] for r in left])
-    this = rows[0]["list"]
+    this = rows[0]["list"] & 0xFFFFFFFF
     ids, node = np.unique([r["cls"] for r in left + right], return_inverse=True)
     node_left, node_right = node[: len(left)], node[len(left) :]
     parent = np.arange(len(ids))
@@ -127,9 +136,10 @@ def _compare(rows: list[dict], least: float):
                 yield int(ids[x]), int(c), int(ids[parent[x]])
 
 
-def links(classes: DataFrame, scratch: Scratch, least: float, pivots: int, sample: int, nearest: int, block: int) -> DataFrame:
-    """cls, links, to: sums of links and spanning edges of classes of equal vectors."""
-    chosen = choose_pivots(classes, pivots, sample)
+def links(classes: DataFrame, lengths: dict[int, int], scratch: Scratch, least: float, pivots: int | None, nearest: int, block: int) -> DataFrame:
+    """cls, links, to: sums of links and spanning edges of classes of equal vectors. ``lengths``: vectors by length."""
+    many = {d: pivots or pivots_for(n) for d, n in lengths.items()}
+    chosen = {d: choose_pivots(classes.where(F.size("v") == d), k, SAMPLE_PER_PIVOT * max(k, PIVOTS)) for d, k in many.items()}
     rows = scratch.table(index(classes, chosen, nearest), "index")
 
     def compare(batches):
@@ -155,19 +165,21 @@ def links(classes: DataFrame, scratch: Scratch, least: float, pivots: int, sampl
     return scratch.table(together.mapInArrow(compare, "cls long, links long, to long"), "links")
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST_COSINE, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE, nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of docs."""
+def near_duplicates(docs: DataFrame, least: float = LEAST_COSINE, pivots: int | None = None, nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of docs; the number of pivots follows from the rows if none is given."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "embeddings")
     vectors = usable(docs)
-    width = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
+    lengths = {r["d"]: r["count"] for r in vectors.groupBy(F.size("v").alias("d")).count().limit(MOST_LENGTHS + 1).collect()}
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} different lengths")
     every = docs.select("vec_id")
-    if width is None:
+    if not lengths:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    vectors = scratch.table(vectors.where(F.size("v") == width["d"]).select("vec_id", "v", F.xxhash64("v").alias("k")), "vectors")
+    vectors = scratch.table(vectors.select("vec_id", "v", F.xxhash64("v").alias("k")), "vectors")
     classes = scratch.table(vectors.groupBy("k", "v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n")), "classes")
     # two vectors that share an id but differ could both be their class's smallest: such classes are one node of the graph
-    found = links(classes.select("cls", "n", "v"), scratch, least, pivots, sample, nearest, block)
+    found = links(classes.select("cls", "n", "v"), lengths, scratch, least, pivots, nearest, block)
     component = scratch.table(connected_components(found.select(F.col("cls").alias("u"), F.col("to").alias("v")), scratch), "component")
     of_class = found.groupBy("cls").agg(F.sum("links").alias("links"))
     by_class = classes.select("cls", "n", "k", "v").join(of_class, "cls", "left").join(component, F.col("cls") == F.col("node"), "left")

@@ -1,7 +1,6 @@
 """Language by compression: the language whose dictionary compresses a text best.
 
-Texts are lower-cased and reduced to their distinct words in order of first sight, so that neither markup nor
-repetition counts. For each learned language a bounded sample becomes a raw-content zstandard dictionary. A text is cut into
+Whole texts are lower-cased, and what parts their words (digits, symbols, white space) becomes one space. For each learned language a bounded sample becomes a raw-content zstandard dictionary. A text is cut into
 blocks, so that a long text cannot outgrow the dictionaries, and every block is compressed once per language; the
 language with the fewest bytes in all wins. Narrow margins are rejected: ``rejected`` is true there, while
 ``lang_pred`` still names the best language.
@@ -14,7 +13,6 @@ text if no language was learned. Ties go to the language with more learned texts
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +21,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.sampling import held_out
+from tessera.llm.scratch import bounded_batches
 
-#: Bytes of a dictionary, texts sampled for it (about), languages told apart, bytes of a block.
-DICT_BYTES, SAMPLE_TEXTS, MOST_LANGS, BLOCK = 112_000, 200, 200, 4096
+#: Bytes of a dictionary, texts sampled for it (about), bytes of a block.
+DICT_BYTES, SAMPLE_TEXTS, BLOCK = 112_000, 200, 4096
+#: More learned languages than this are an error, as their dictionaries would outgrow a broadcast.
+MOST_LANGS = 1000
 LEVEL = 9
 #: Below this share of bytes saved against the second best language a prediction counts as rejected.
 NARROW = 0.01
 
 
-_WORDS = re.compile(r"[^\W\d_]+")
+#: ASCII letters and all bytes of other characters stay.
+_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def plain(text: str) -> bytes:
-    """The distinct words of a text, lower-cased, in order of first sight; digits and symbols part words."""
-    return " ".join(dict.fromkeys(_WORDS.findall(text.lower()))).encode()
+    """The words of a text, lower-cased, parted by one space."""
+    return b" ".join(text.lower().encode().translate(_LETTERS).split())
 
 
 def train_languages(docs: DataFrame) -> dict[str, bytes]:
     """lang -> dictionary, from documents with a lang that are not held out. Texts are sampled by a hash of the text."""
     learnable = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and length(text) > 0").where(~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in learnable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in learnable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages to learn")
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_TEXTS / n))])
     place = (F.xxhash64("text", F.lit(5)) / float(2**64)) + 0.5
-    most = DICT_BYTES // 20  # of one text, cut from its middle
+    most = DICT_BYTES // 20  # of one training text, from its middle, so that no text fills a dictionary alone
     picked = (
         learnable.where(F.col("lang").isin(*counts)).where(place <= share[F.col("lang")])
         .select("lang", place.alias("place"), F.expr(f"substring(text, greatest(1, int(length(text) / 2) - {most // 2}), {most})").alias("part"))
@@ -79,6 +83,7 @@ def sizes(text: bytes, compressors: list) -> list[int]:
 
 def predict_language(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin, rejected for each row; score is second / (best + second) bytes, stretched to 0..1."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) if dictionaries else F.lit(False)
 

@@ -24,8 +24,10 @@ from tessera.llm.scratch import Scratch
 
 LENGTH, CLOSING = 2048, 1
 DIMS, DIM_BITS, BUCKETS = 4, 12, 1024
-#: Distinct words whose ids a generation keeps, two of which a Python worker holds.
-KEPT_WORDS = 400_000
+#: Distinct words whose ids a generation keeps, two of which a Python worker holds while a task runs.
+KEPT_WORDS = 150_000
+#: Bytes of token ids of a partition along the curve: a 2000th of them all between these bounds.
+LEAST_PARTITION, MOST_PARTITION = 16_000_000, 512_000_000
 
 _state: dict = {}
 
@@ -91,13 +93,19 @@ class WordIds:
             self.marks[marks] = self._encode(marks)
         return self.kept[lower] + self.marks[marks]
 
+    def forget(self) -> None:
+        """Start with no words: workers are used again by other operators and should not keep what they do not need."""
+        self.kept = _Kept(self._word, {})
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.older = {}
-            self.kept = _Kept(self._word, self.kept)
-        look = self.kept.__getitem__
-        return [b"".join(map(look, t.replace("\n", " ").split(" "))) for t in texts]
+        out = []
+        for t in texts:
+            if len(self.kept) > KEPT_WORDS:
+                self.kept.older = {}
+                self.kept = _Kept(self._word, self.kept)
+            out.append(b"".join(map(self.kept.__getitem__, t.replace("\n", " ").split(" "))))
+        return out
 
 
 def tokenizer_at(path: str) -> WordIds:
@@ -155,12 +163,14 @@ def tokenize(docs: DataFrame, path: str, closing: int = CLOSING) -> DataFrame:
 
     def encode(batches):
         words = tokenizer_at(path)
+        words.forget()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 ids = words.ids([t or "" for t in part.column(1).to_pylist()])
                 keys = curve_keys([np.frombuffer(x, "<u4") for x in ids])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "key", "ids"])
+        words.forget()
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, key long, ids binary")
 
@@ -219,7 +229,9 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, closing: in
     """One row per piece: doc_id, start, length, ids (bytes), doc_tokens, sequence_id, offset."""
     scratch = Scratch(docs.sparkSession, "packing")
     tokens = scratch.table(tokenize(docs, path, closing), "tokens")
-    along = tokens.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    size = tokens.agg(F.sum(F.octet_length("ids"))).head()[0] or 0
+    many = max(1, -(-size // min(max(size // 2000, LEAST_PARTITION), MOST_PARTITION)))
+    along = tokens.repartitionByRange(many, "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return along.select("doc_id", "ids").mapInArrow(_piece_packer(length), _PIECES)
 
 

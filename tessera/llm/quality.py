@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.features import BITS, Adam, hashed, row_sums, sigmoid
 from tessera.llm.sampling import first_by_hash, held_out, sample_features, stack
+from tessera.llm.scratch import bounded_batches
 
-#: Training sample per grade, and the number of grades that are told apart.
-MOST_PER_GRADE, MOST_GRADES = 4000, 20
+#: Training sample per grade; more different grades than the second are an error.
+MOST_PER_GRADE, MOST_GRADES = 4000, 100
 
 
 @dataclass
@@ -84,7 +85,9 @@ def fit_ordinal(rows: list, rank: np.ndarray, k: int, size: int, rounds: int = 3
 def train_quality(docs: DataFrame, labels: DataFrame, rating: str = "quality") -> QualityModel:
     """Fit on documents that are not held out: a bounded sample of each grade, chosen by a hash of the id."""
     learnable = labels.where(F.col("doc_id").isNotNull() & F.col(rating).isNotNull()).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(rating).cast("int").alias("grade"))
-    grades = sorted(r["grade"] for r in learnable.groupBy("grade").count().orderBy(F.desc("count"), "grade").limit(MOST_GRADES).collect())
+    grades = sorted(r["grade"] for r in learnable.select("grade").distinct().limit(MOST_GRADES + 1).collect())
+    if len(grades) > MOST_GRADES:
+        raise ValueError(f"more than {MOST_GRADES} different grades")
     flat = QualityModel(np.zeros(1 << BITS, dtype=np.float32), np.zeros(0), np.array(grades[:1] or [0], dtype=float))
     if len(grades) < 2:
         return flat
@@ -104,6 +107,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, rating: str = "quality") -
 
 def score_quality(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability, selected (tail probability at least ``least``) for each row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):

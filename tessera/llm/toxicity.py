@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.features import Adam, row_sums, sigmoid, stems, window_stems
 from tessera.llm.sampling import first_by_hash, held_out, sample_features, stack
+from tessera.llm.scratch import bounded_batches
 
 #: Training samples: toxic, other labelled (for the line only) and unlabelled documents.
 MOST_TOXIC, MOST_OTHER, MOST_UNLABELLED = 4000, 4000, 4000
@@ -106,6 +107,7 @@ def fit_line(margin: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[f
 
 def train_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fit on documents that are not held out: bounded samples, chosen by a hash of the id."""
+    bounded_batches(docs.sparkSession)
     learnable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in learnable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):

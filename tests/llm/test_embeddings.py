@@ -54,3 +54,28 @@ def test_odd_vectors_link_with_nothing(spark):
     assert [got[i] for i in (1, 2, 3)] == [(2, 1, True), (2, 1, False), (2, 1, False)]
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11)) and got[None] == (0, None, False)
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_each_length_is_compared_within_itself(spark):
+    long, short = made(4, n=120, d=16), [(i + 1, v, l) for i, v, l in made(5, n=60, d=9)]
+    want = brute(long, 0.95) | brute(short, 0.95)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(long + short, SCHEMA), pivots=12).collect()}
+    assert sum(n for n, _ in want.values()) > 100 and sum(got[i][0] for i in want) >= 0.97 * sum(n for n, _ in want.values())
+    assert all(got[i][0] <= n for i, (n, _) in want.items())
+    with pytest.raises(ValueError):
+        embeddings.near_duplicates(spark.createDataFrame([(i, [1.0] * (i + 1), 0) for i in range(101)], SCHEMA))
+
+
+def test_recall_at_production_parameters(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a, r = unit(rng.standard_normal((4000, 64))), rng.standard_normal((2000, 64))
+    r = unit(r - (r * a[:2000]).sum(1, keepdims=True) * a[:2000])
+    cosine = rng.uniform(0.9505, 0.99, 2000)[:, None]
+    v = np.concatenate([a, cosine * a[:2000] + np.sqrt(1 - cosine**2) * r]).astype(np.float32)
+    rows = [(i, [float(x) for x in y], 0) for i, y in enumerate(v)]
+    want = brute(rows, 0.95)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    links = sum(n for n, _ in want.values())
+    assert links >= 4000 and 0.97 * links <= sum(got.values()) <= links
+    assert embeddings.pivots_for(10**5) == 256 and embeddings.pivots_for(10**7) == 1415

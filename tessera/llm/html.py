@@ -5,7 +5,8 @@ votes, summed per host in Spark; each page is then extracted again from the cont
 from its own best container if it has none there.
 
 Left out wherever they stand: navigation, page headers, footers, sidebars, forms, scripts, styles, adverts, notices and
-reader comments, told by element, role, and words of class and id. Character references are decoded, white space within a
+reader comments, told by element, role, and words of class and id. Words of class and id only suggest it: an element that holds
+most of a page's running text stays, unless they name comments. States such as ``has-sidebar`` or ``comments-open`` say nothing. Character references are decoded, white space within a
 block becomes one space, blocks are joined by one space.
 
 Null or empty html gives an empty text; a null url counts as a host of its own (''). Rows that repeat are extracted each.
@@ -18,17 +19,20 @@ import re
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch
 
-#: Up to this many hosts the winning paths are broadcast (each cut to 1000 characters); more are joined.
+#: Up to this many hosts the winning paths (each a 64-bit hash) are broadcast; more are joined.
 BROADCAST_HOSTS = 20_000
+#: An element with more than this share of a page's running text is no side matter, whatever its class says.
+MOST_OF_PAGE = 0.6
 
 # HTML elements by role, and words that mark what is no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("nav footer aside form button select option input dialog menu svg canvas object audio video head map datalist fieldset".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
@@ -39,6 +43,9 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager toolbar skip disclaimer hidden".split()
 )
 
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+STATES = frozenset("has with no not without is open opened closed enabled disabled on off".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -47,6 +54,27 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _FENCES = frozenset("ul ol dl table article section div main body td aside nav form".split())
 
 
+def side_matter(tag: str, names: str, in_article: bool) -> str | None:
+    """What words of class and id say of an element: ``comments``, ``side`` (menus, adverts and the like) or nothing."""
+    if tag in ("body", "html", "main"):
+        return None
+    out = None
+    for token in names.split():
+        words = [w.lower() for w in _PART.findall(token)]
+        if not words or words[0] in STATES or words[-1] in STATES:
+            continue
+        if words[0] in COMMENTS or words[-1] in COMMENTS and tag != "article":
+            return "comments"
+        if tag != "article" and any(w in MARKS and not (in_article and w == "header") for w in words):
+            out = "side"
+    return out
+
+
+def path_key(path: str) -> int:
+    """A container's whole path as a signed 64-bit hash."""
+    return xxhash.xxh3_64_intdigest(path.encode()) - 2**63
+
+
 class Page:
     """The blocks of a page, each with its text and the containers around it; ``paths[c]`` is a container's generalised path."""
 
@@ -54,10 +82,26 @@ class Page:
         self.blocks: list[tuple[str, tuple[int, ...], bool, int]] = []  # text, containers from outside in, dropped, characters of links
         self.paths: list[str] = []
         self.tags: list[str] = []
+        self.sides: list[tuple[int, ...]] = []  # of each block, the elements around it that may be side matter
         self._parse(html)
+        self._judge()
+
+    def _judge(self) -> None:
+        """Blocks in side matter are dropped, but for elements that hold most of the page's running text."""
+        held: dict[int, float] = {}
+        whole = 0.0
+        for (text, _, dropped, links), sides in zip(self.blocks, self.sides):
+            if not dropped:
+                worth = max(0.0, len(text) - 2.0 * links)
+                whole += worth
+                for e in sides:
+                    held[e] = held.get(e, 0.0) + worth
+        keep = {e for e, x in held.items() if x > MOST_OF_PAGE * whole}
+        self.blocks = [(t, a, d or any(e not in keep for e in sides), n) for (t, a, d, n), sides in zip(self.blocks, self.sides)]
 
     def _parse(self, html: str) -> None:
-        stack: list[tuple[str, bool, int]] = []  # tag, dropped, its container or -1
+        stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, dropped, its container or -1, elements that may be side matter
+        elements = 0
         around: list[int] = []
         buffer: list[str] = []
         links = 0
@@ -69,12 +113,13 @@ class Page:
                 text = " ".join(unescape("".join(buffer)).split())
                 if text:
                     self.blocks.append((text, tuple(around), bool(stack and stack[-1][1]), links))
+                    self.sides.append(stack[-1][3] if stack else ())
                 buffer.clear()
             links = 0
 
         def pop():
             nonlocal in_link
-            tag, _, container = stack[-1]
+            tag, _, container, _ = stack[-1]
             if tag not in INLINE:
                 flush()
             stack.pop()
@@ -83,26 +128,29 @@ class Page:
                 around.pop()
 
         def push(tag: str, attributes: str):
-            nonlocal in_link
+            nonlocal in_link, elements
             if tag not in INLINE:
                 flush()
+            in_article, sides = any(x[0] in ("article", "main") for x in stack), stack[-1][3] if stack else ()
             dropped = (stack[-1][1] if stack else False) or tag in DROPPED
             name = tag
             if attributes.strip():
                 found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-                marks = {m.lower() for m in _PART.findall(f"{found.get('class', '')} {found.get('id', '')}")} if tag not in ("body", "html", "article", "main") or "comment" in attributes.lower() else set()
-                marks = marks - {"header"} if any(t in ("article", "main") for t, _, _ in stack) else marks
-                dropped = dropped or bool(marks & MARKS) or found.get("role", "").lower() in ROLES or bool(_HIDDEN.search(found.get("style", ""))) or found.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes))
+                side = side_matter(tag, f"{found.get('class') or ''} {found.get('id') or ''}", in_article)
+                if side == "side":
+                    elements += 1
+                    sides = (*sides, elements)
+                dropped = dropped or side == "comments" or (found.get("role") or "").lower() in ROLES or bool(_HIDDEN.search(found.get("style") or "")) or found.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes))
                 if found.get("class"):
                     name += "." + re.sub(r"\d+", "0", found["class"].split()[0] if found["class"].split() else "")
-            dropped = dropped or (tag == "header" and not any(t in ("article", "main") for t, _, _ in stack))
+            dropped = dropped or (tag == "header" and not in_article)
             container = -1
             if tag in CONTAINERS:
                 container = len(self.paths)
                 self.paths.append((self.paths[around[-1]] + "/" if around else "") + name)
                 self.tags.append(tag)
                 around.append(container)
-            stack.append((tag, dropped, container))
+            stack.append((tag, dropped, container, sides))
             in_link += tag == "a"
 
         def close_until(tags: set):
@@ -128,7 +176,7 @@ class Page:
             if not tag:
                 continue
             if m[1] or m[4]:
-                if any(t == tag for t, _, _ in stack):
+                if any(x[0] == tag for x in stack):
                     while stack[-1][0] != tag:
                         pop()
                     pop()
@@ -171,17 +219,18 @@ class Page:
                     worth *= 0.7
         return {c: s * (1.5 if self.tags[c] in ("article", "main") else 1.0) for c, s in out.items() if s > 0}
 
-    def votes(self) -> dict[str, float]:
+    def votes(self) -> dict[int, float]:
         """Shares of the page's one vote by path."""
-        by_path: dict[str, float] = {}
+        by_path: dict[int, float] = {}
         for c, s in self.scores().items():
-            by_path[self.paths[c][:1000]] = by_path.get(self.paths[c][:1000], 0.0) + s
+            key = path_key(self.paths[c])
+            by_path[key] = by_path.get(key, 0.0) + s
         whole = sum(by_path.values())
         return {k: v / whole for k, v in by_path.items()}
 
-    def text(self, path: str | None) -> str:
+    def text(self, path: int | None) -> str:
         """The text below the containers on this path, or below the page's best container."""
-        chosen = {c for c, p in enumerate(self.paths) if p[:1000] == path}
+        chosen = {c for c, p in enumerate(self.paths) if path is not None and path_key(p) == path}
         picked = [t for t, around, dropped, _ in self.blocks if not dropped and not chosen.isdisjoint(around)]
         if not picked:
             scores = self.scores()
@@ -198,7 +247,7 @@ def host_of(url):
 
 
 def vote(pages: DataFrame) -> DataFrame:
-    """host, path: the path with most votes for each host; ties go to the path that sorts first."""
+    """host, path (hash): the path with most votes for each host; ties go to the smallest hash."""
 
     def ballots(batches):
         for batch in batches:
@@ -206,9 +255,9 @@ def vote(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows += [(host, path, share) for path, share in Page(html).votes().items()]
             host, path, share = zip(*rows) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array([round(s * 1e6) for s in share], pa.int64())], names=["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array([round(s * 1e6) for s in share], pa.int64())], names=["host", "path", "votes"])
 
-    cast = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(ballots, "host string, path string, votes long")
+    cast = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(ballots, "host string, path long, votes long")
     counted = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("order"), "path")).alias("best")).select("host", "best.path")
 

@@ -36,6 +36,8 @@ RAREST = 1 / 2000
 CELL_BITS, SLAB_BITS = 22, 16
 #: Classes of one bucket that a task compares, and bytes of their compressed texts.
 BLOCK, BLOCK_BYTES = 400, 4_000_000
+#: Up to this many rows (16 bytes each) that go are broadcast; more are joined by a shuffle.
+BROADCAST_GONE = 500_000
 
 _rng = np.random.default_rng(7)
 _R, _LOG_C = _rng.gamma(2.0, 1.0, 4096), np.log(_rng.gamma(2.0, 1.0, 4096))
@@ -329,6 +331,8 @@ def drop_near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BAN
     keyed = docs.withColumn("__did", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("doc_id", "text"))
     again = found.where("leader is not null").groupBy("did", "h").count().where("count > 1").select(F.col("did").alias("__did"), F.col("h").alias("__h"))
     gone, again = scratch.table(gone, "gone"), scratch.table(again, "again")
+    if gone.count() <= BROADCAST_GONE:
+        gone = F.broadcast(gone)
     same = lambda x: keyed["__did"].eqNullSafe(x["__did"]) & (keyed["__h"] == x["__h"])
     if not again.head(1):
         return keyed.join(gone, same(gone), "left_anti").select(*docs.columns)

@@ -1,6 +1,6 @@
 """All registered queries over the standard tables."""
 
-from tessera.plans import functions, process, relational, streams, timeseries
+from tessera.plans import finance, functions, process, relational, streams, timeseries
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "functions", "process", "relational", "streams", "timeseries"]
+__all__ = ["ORACLES", "QUERIES", "finance", "functions", "process", "relational", "streams", "timeseries"]

@@ -49,11 +49,11 @@ def report_gate(t: Tables) -> DataFrame:
     return out.withColumn("status", F.when(F.size("hard_failed") == 0, "VERIFIED").otherwise("UNVERIFIED"))
 
 
-@query(f"""WITH {STATEMENT}, x AS (SELECT company, yr, round(sum_up, 1) AS bottom_up, revenue FROM (SELECT *, revenue * (1 + (company % 13 - 6) / 100.0) AS sum_up FROM st))
+@query(f"""WITH {STATEMENT}, x AS (SELECT company, yr, sum_up AS bottom_up, revenue FROM (SELECT *, revenue * (1 + (company % 13 - 6) * 1.1 / 100) AS sum_up FROM st))
     SELECT company, yr, round(bottom_up - revenue, 1) + 0.0 AS variance, round((bottom_up - revenue) / revenue, 4) + 0.0 AS variance_pct, abs((bottom_up - revenue) / revenue) <= 0.05 AS within FROM x""")
 def calibration(t: Tables) -> DataFrame:
     """FN-13: what is summed from below against what was reported."""
-    x = statement(t).select("company", "yr", F.round(F.col("revenue") * (1 + (F.col("company") % 13 - 6) / 100.0), 1).alias("bottom_up"), "revenue")
+    x = statement(t).select("company", "yr", (F.col("revenue") * (1 + (F.col("company") % 13 - 6) * 1.1 / 100)).alias("bottom_up"), "revenue")
     v = fin.calibration(F.col("bottom_up"), F.col("revenue"))
     return x.select("company", "yr", *[v[k].alias(k) for k in ("variance", "variance_pct", "within")])
 

@@ -27,16 +27,16 @@ def rsi(c: pd.Series, n: int) -> pd.Series:
 
 
 def directional(high: pd.Series, low: pd.Series, close: pd.Series, n: int) -> pd.DataFrame:
-    """ATR, +DI, -DI and ADX by Wilder's smoothing; the first row's range is high less low."""
-    before = close.shift()
-    tr = pd.concat([high - low, (high - before).abs(), (low - before).abs()], axis=1).max(axis=1)
-    up, down = high.diff(), -low.diff()
-    atr = wilder(tr, n)
-    plus = 100 * wilder(up.where((up > down) & (up > 0), 0.0), n) / atr.where(atr != 0)
-    minus = 100 * wilder(down.where((down > up) & (down > 0), 0.0), n) / atr.where(atr != 0)
-    both = plus + minus
-    dx = 100 * (plus - minus).abs() / both.where(both != 0)
-    return pd.DataFrame({"atr": atr, "plus_di": plus, "minus_di": minus, "adx": wilder(dx.fillna(0.0), n)})
+    """ATR, +DI, -DI and ADX by Wilder's smoothing. Movements begin with the second bar, and so do the indicators made of them."""
+    earlier = close.shift().fillna(close)
+    reach = np.maximum(high, earlier.where(close.shift().notna(), high)) - np.minimum(low, earlier.where(close.shift().notna(), low))
+    atr = wilder(reach, n)
+    step = pd.DataFrame({"plus_di": high.diff(), "minus_di": -low.diff()})
+    ahead = step.gt(step[["minus_di", "plus_di"]].to_numpy()) & step.gt(0)
+    di = step.where(ahead | step.isna(), 0.0).apply(wilder, n=n).mul(100).div(atr.where(atr != 0), axis=0)
+    total = di["plus_di"] + di["minus_di"]
+    spread = 100 * (di["plus_di"] - di["minus_di"]).abs() / total.where(total != 0)
+    return di.assign(atr=atr, adx=wilder(spread, n))
 
 
 def indicators(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, n: int = 14) -> DataFrame:

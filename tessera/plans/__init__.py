@@ -1,6 +1,6 @@
 """All registered queries over the standard tables."""
 
-from tessera.plans import finance, functions, market, process, relational, streams, timeseries
+from tessera.plans import finance, functions, mail, market, process, relational, storage, streams, timeseries
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "finance", "functions", "market", "process", "relational", "streams", "timeseries"]
+__all__ = ["ORACLES", "QUERIES", "finance", "functions", "mail", "market", "process", "relational", "storage", "streams", "timeseries"]

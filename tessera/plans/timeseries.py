@@ -461,7 +461,19 @@ def rsi(t: Tables) -> DataFrame:
     return _out(recursive.indicators(panel(t)), rsi=F.col("rsi"))
 
 
-@query()
+_STEP = "(p.high - e.high)", "(e.low - p.low)"
+_PLUS, _MINUS = f"CASE WHEN {_STEP[0]} > {_STEP[1]} AND {_STEP[0]} > 0 THEN {_STEP[0]} ELSE 0 END", f"CASE WHEN {_STEP[1]} > {_STEP[0]} AND {_STEP[1]} > 0 THEN {_STEP[1]} ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE {PANEL}, p AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d) AS i FROM panel),
+    e AS (SELECT ticker, d, i, high, low, close, high - low AS atr, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS v FROM p WHERE i = 1 UNION ALL
+        SELECT p.ticker, p.d, p.i, p.high, p.low, p.close, e.atr + (greatest(p.high - p.low, abs(p.high - e.close), abs(p.low - e.close)) - e.atr) / 14,
+            coalesce(e.u + (({_PLUS}) - e.u) / 14, {_PLUS}), coalesce(e.v + (({_MINUS}) - e.v) / 14, {_MINUS}) FROM e JOIN p ON p.ticker = e.ticker AND p.i = e.i + 1),
+    x AS (SELECT *, 100 * u / nullif(atr, 0) AS pd, 100 * v / nullif(atr, 0) AS md FROM e), y AS (SELECT *, 100 * abs(pd - md) / nullif(pd + md, 0) AS dx FROM x),
+    z AS (SELECT ticker, d, i, atr, close, pd, md, CAST(NULL AS DOUBLE) AS adx, 0 AS gap, i AS at FROM y WHERE i = 1 UNION ALL
+        SELECT y.ticker, y.d, y.i, y.atr, y.close, y.pd, y.md, CASE WHEN y.dx IS NULL THEN z.adx WHEN z.adx IS NULL THEN y.dx ELSE (pow(13.0 / 14, z.gap + 1) * z.adx + y.dx / 14) / (pow(13.0 / 14, z.gap + 1) + 1.0 / 14) END,
+            CASE WHEN y.dx IS NULL THEN z.gap + 1 ELSE 0 END, y.i FROM z JOIN y ON y.ticker = z.ticker AND y.i = z.i + 1)
+    SELECT ticker, d, round(atr, 4) AS atr, round(100 * atr / close, 4) AS natr, round(pd, 4) AS plus_di, round(md, 4) AS minus_di, round(adx, 4) AS adx FROM z""")
 def directional_movement(t: Tables) -> DataFrame:
     """WN-09 and WN-10"""
     return _out(recursive.indicators(panel(t)), **{c: F.col(c) for c in ("atr", "natr", "plus_di", "minus_di", "adx")})

@@ -26,6 +26,19 @@ def read(spark: SparkSession, path: str, form: str, schema: StructType | str | N
     return reader.format(form).load(path)
 
 
+def json_rows(docs: DataFrame) -> DataFrame:
+    """The records of JSON documents: those of the first list of records among the columns, or the documents themselves."""
+    lists = [f.name for f in docs.schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"]
+    return docs.select(F.inline(lists[0])) if lists else docs
+
+
+def manifest_rows(docs: DataFrame, column: str) -> DataFrame:
+    """section, grp, id, panels (joined by bars) of manifests {section: {group: [{id, panels}]}}; groups of another shape are passed over."""
+    sections = F.from_json(column, "map<string, map<string, array<struct<id: string, panels: array<string>>>>>")
+    groups = docs.select(F.explode(sections).alias("section", "groups")).select("section", F.explode("groups").alias("grp", "items"))
+    return groups.select("section", "grp", F.inline("items")).select("section", "grp", "id", F.coalesce(F.array_join("panels", "|"), F.lit("")).alias("panels"))
+
+
 def first_source(spark: SparkSession, candidates: list[tuple[str, str]], schema: StructType | str | None = None) -> tuple[DataFrame | None, list[str]]:
     """The first of (path, format) that can be read and has rows, and why those before it could not serve."""
     why = []
@@ -43,7 +56,8 @@ def first_source(spark: SparkSession, candidates: list[tuple[str, str]], schema:
 def with_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "Big5", "GBK", "ISO-8859-1")) -> tuple[DataFrame, str]:
     """A CSV in the first encoding under which its lines hold no replacement characters."""
     for e in encodings[:-1]:
-        if spark.read.option("encoding", e).text(path).where(F.contains("value", F.lit("�"))).isEmpty():
+        lines = spark.read.schema("value string").option("encoding", e).option("sep", "\u0001").option("quote", "").csv(path)
+        if lines.where(F.contains("value", F.lit("�"))).isEmpty():
             return read(spark, path, "csv", encoding=e), e
     return read(spark, path, "csv", encoding=encodings[-1]), encodings[-1]
 

@@ -42,7 +42,7 @@ def tolerance_and_confidence(t: Tables) -> DataFrame:
 @query("""WITH x AS (SELECT p_partkey, p_retailprice AS revenue, p_retailprice * 0.6 AS cogs, p_retailprice * CASE WHEN p_partkey % 4 = 0 THEN 0.5 ELSE 0.4 END AS gp, p_retailprice * 0.1 AS opex, p_retailprice * CASE WHEN p_partkey % 6 = 0 THEN 0.2 ELSE 0.3 END AS oi FROM part)
     SELECT p_partkey, list_filter([CASE WHEN abs(revenue - cogs - gp) > greatest(1.0, 0.01 * gp) THEN 'gross_profit' END, CASE WHEN abs(gp - opex - oi) > greatest(1.0, 0.01 * oi) THEN 'operating_income' END], lambda v: v IS NOT NULL) AS failed FROM x""")
 def accounting_identities(t: Tables) -> DataFrame:
-    """FN-10, FN-11, FN-15 and AG-10"""
+    """FN-10 and AG-10"""
     p, k = F.col("p_retailprice"), F.col("p_partkey")
     none = F.lit(None).cast("double")
     d = {"revenue": p, "cogs": p * 0.6, "gross_profit": p * F.when(k % 4 == 0, 0.5).otherwise(0.4), "opex": p * 0.1, "operating_income": p * F.when(k % 6 == 0, 0.2).otherwise(0.3)} | dict.fromkeys(("pretax", "tax", "net_income", "liabilities", "equity", "assets"), none)
@@ -51,7 +51,7 @@ def accounting_identities(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, round(p_retailprice - 60, 4) AS unit, round(1000 / (p_retailprice - 60), 6) AS breakeven, round((p_retailprice - 60) * 50 / ((p_retailprice - 60) * 50 - 1000), 6) AS leverage, round((p_size * 30.0 / p_retailprice - 1) * 100, 2) AS upside, CASE WHEN p_size >= 10 THEN round(p_retailprice / p_size, 6) END AS per FROM part")
 def cost_and_valuation(t: Tables) -> DataFrame:
-    """FN-12, FN-13, FN-16 and FN-17"""
+    """FN-12; ``valuation`` and ``calibration`` do the rest"""
     p = F.col("p_retailprice")
     c = numeric.cost_structure(F.lit(60.0), F.lit(1000.0), p, F.lit(50.0))
     eps = F.when(F.col("p_size") >= 10, F.col("p_size").cast("double")).otherwise(0.0)
@@ -99,27 +99,29 @@ def entities_and_masks(t: Tables) -> DataFrame:
 
 @query("""WITH s AS (SELECT item_id, unnest(string_split_regex(text, '[.!?\\n]')) AS s FROM benchmark) SELECT item_id, count(*) AS n FROM s WHERE trim(s) <> '' GROUP BY 1""")
 def sentence_counts(t: Tables) -> DataFrame:
-    """TX-26 and TX-50: sentences as rows."""
+    """TX-50: sentences as rows."""
     return t.benchmark.select("item_id", F.explode(text.sentences(F.col("text"))).alias("s")).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query("""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard
-    FROM w a JOIN w b ON a.w = b.w AND a.item_id < b.item_id JOIN (SELECT item_id, count(*) AS n FROM w GROUP BY 1) x ON x.item_id = a.item_id JOIN (SELECT item_id, count(*) AS n FROM w GROUP BY 1) y ON y.item_id = b.item_id GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.3""")
+    FROM w a JOIN w b ON a.w = b.w AND a.item_id < b.item_id JOIN (SELECT item_id, count(*) AS n FROM w GROUP BY 1) x ON x.item_id = a.item_id JOIN (SELECT item_id, count(*) AS n FROM w GROUP BY 1) y ON y.item_id = b.item_id GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.1""")
 def similar_items(t: Tables) -> DataFrame:
-    """TX-30, TX-32 and TX-56: pairs of benchmark items that share words, found through the words they share."""
+    """TX-30 in part: items of a Jaccard similarity of 0.1 at least. Such items share one of their rarest words, so the commonest need not meet."""
     w = t.benchmark.select("item_id", F.explode(F.array_distinct(text.word_list(F.col("text")))).alias("w"))
-    n = w.groupBy("item_id").agg(F.count("*").alias("n"))
-    w = w.join(n, "item_id")
-    b = w.select(F.col("item_id").alias("b"), "w", F.col("n").alias("m"))
-    x = w.withColumnRenamed("item_id", "a").join(b, "w").where("a < b").groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
-    score = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    return x.where(score >= 0.3).select("a", "b", F.round(score, 6).alias("jaccard"))
+    rarity = w.groupBy("w").agg(F.count("*").alias("df"))
+    words = w.join(rarity, "w").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+    words = words.select("item_id", F.transform("s", lambda x: x["w"]).alias("s"), F.size("s").alias("n"))
+    prefix = words.select("item_id", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 0.1) + 1).cast("int"))).alias("w"))
+    pairs = prefix.select(F.col("item_id").alias("a"), "w").join(prefix.select(F.col("item_id").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
+    x = pairs.join(words.select(F.col("item_id").alias("a"), F.col("s").alias("x")), "a").join(words.select(F.col("item_id").alias("b"), F.col("s").alias("y")), "b")
+    score = text.jaccard(F.col("x"), F.col("y"))
+    return x.where(score >= 0.1).select("a", "b", F.round(score, 6).alias("jaccard"))
 
 
 @query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark), tf AS (SELECT item_id, w, count(*) AS c FROM w GROUP BY 1, 2), df AS (SELECT w, count(*) AS d FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT item_id) AS n FROM w)
     SELECT item_id, w, round(c * (ln((1 + n) / (1 + d)) + 1), 6) AS tfidf FROM tf JOIN df USING (w), n QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(c * (ln((1 + n) / (1 + d)) + 1), 6) DESC, w) <= 5""")
 def tfidf_keywords(t: Tables) -> DataFrame:
-    """TX-51 and TX-52: the five heaviest words of each item."""
+    """TX-52: the five heaviest words of each item."""
     w = t.benchmark.select("item_id", F.explode(text.word_list(F.col("text"))).alias("w"))
     tf = w.groupBy("item_id", "w").agg(F.count("*").alias("c"))
     df = tf.groupBy("w").agg(F.count("*").alias("d"))

@@ -99,8 +99,8 @@ def top_variant_events(t: Tables) -> DataFrame:
 @query(f"""WITH {LOG}, r AS (SELECT "case", ts, seq FROM log WHERE activity = 'view') SELECT r."case", r.seq FROM r
     WHERE NOT EXISTS (SELECT 1 FROM log p WHERE p."case" = r."case" AND p.activity = 'purchase' AND p.ts > r.ts AND p.ts <= r.ts + INTERVAL 1 DAY)""")
 def sla_breaches(t: Tables) -> DataFrame:
-    """PMN-11 and PMN-12: views without a purchase within a day."""
-    upcoming = Window.partitionBy("case").orderBy("ts", "seq").rowsBetween(1, Window.unboundedFollowing)
+    """PMN-11, and the first of PMN-12: views without a purchase within a day."""
+    upcoming = Window.partitionBy("case").orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)  # a running minimum from the end
     x = log(t).withColumn("bought", F.min(F.when(F.col("activity") == "purchase", F.col("ts"))).over(upcoming))
     late = F.col("bought").isNull() | (F.col("bought") > F.col("ts") + F.expr("interval 1 day"))
     return x.where((F.col("activity") == "view") & late).select("case", "seq")
@@ -121,7 +121,7 @@ def collapsed_repeats(t: Tables) -> DataFrame:
 @query(f"""WITH {LOG} SELECT a."case", a.seq, round(epoch_us(min(b.ts)) / 1e6 - epoch_us(min(a.ts)) / 1e6, 3) AS latency FROM log a JOIN log b ON a."case" = b."case" AND b.ts > a.ts AND b.activity <> 'error' WHERE a.activity = 'error' GROUP BY 1, 2""")
 def response_latency(t: Tables) -> DataFrame:
     """JN-11: from each error to the user's next other event, by a frame that looks ahead instead of a range join."""
-    upcoming = Window.partitionBy("case").orderBy("ts", "seq").rowsBetween(1, Window.unboundedFollowing)
+    upcoming = Window.partitionBy("case").orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)  # a running minimum from the end
     x = log(t).withColumn("answer", F.min(F.when(F.col("activity") != "error", F.col("ts"))).over(upcoming))
     return x.where("activity = 'error' and answer is not null").select("case", "seq", F.round(F.unix_micros("answer") / 1e6 - F.unix_micros("ts") / 1e6, 3).alias("latency"))
 

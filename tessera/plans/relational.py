@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import reconcile
+from tessera.operators import reconcile, ranks
 from tessera.plans.registry import Tables, query
 
 
@@ -167,29 +167,28 @@ def last_and_first(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1")
 def best_row(t: Tables) -> DataFrame:
-    """AG-06, AG-07 and AG-08"""
+    """AG-06"""
     return reconcile.best_row(t.events.select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "value", "event_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_groups(t: Tables) -> DataFrame:
-    """AG-09"""
+    """AG-09: the groups; ``duplicate_quarantine`` splits them."""
     return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("SELECT c_nationkey AS nation, round(min(c_acctbal), 2) AS lo, round(max(c_acctbal), 2) AS hi, round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS sd, round(quantile_cont(c_acctbal, 0.25), 4) AS p25, round(quantile_cont(c_acctbal, 0.75), 4) AS p75, arg_max(c_acctbal, c_custkey) AS present FROM customer GROUP BY 1")
 def band_statistics(t: Tables) -> DataFrame:
     """AG-13"""
-    b = F.col("c_acctbal")
-    return t.customer.groupBy(F.col("c_nationkey").alias("nation")).agg(
-        F.round(F.min(b), 2).alias("lo"), F.round(F.max(b), 2).alias("hi"), F.round(F.avg(b), 4).alias("mean"), F.round(F.stddev_samp(b), 4).alias("sd"),
-        F.round(F.percentile(b, F.lit(0.25)), 4).alias("p25"), F.round(F.percentile(b, F.lit(0.75)), 4).alias("p75"), F.max_by(b, "c_custkey").alias("present"),
-    )
+    b, nation = F.col("c_acctbal"), F.col("c_nationkey").alias("nation")
+    q = ranks.quantiles(t.customer.select(nation, "c_acctbal", "c_custkey"), "nation", "c_acctbal", "c_custkey", {"p25": 0.25, "p75": 0.75})
+    rest = t.customer.groupBy(nation).agg(F.round(F.min(b), 2).alias("lo"), F.round(F.max(b), 2).alias("hi"), F.round(F.avg(b), 4).alias("mean"), F.round(F.stddev_samp(b), 4).alias("sd"), F.max_by(b, "c_custkey").alias("present"))
+    return rest.join(q, "nation").select("nation", "lo", "hi", "mean", "sd", F.round("p25", 4).alias("p25"), F.round("p75", 4).alias("p75"), "present")
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 5) AS beta, round(regr_intercept(l_extendedprice, l_quantity), 3) AS alpha, round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem GROUP BY 1")
 def regression(t: Tables) -> DataFrame:
-    """AG-16, AG-18 and AG-19"""
+    """AG-16 and AG-18 for one pair; ``correlation_matrix`` and ``factor_alpha`` do the rest."""
     y, x = "l_extendedprice", "l_quantity"
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 5).alias("beta"), F.round(F.regr_intercept(y, x), 3).alias("alpha"), F.round(F.corr(y, x), 6).alias("r"))
 
@@ -197,26 +196,24 @@ def regression(t: Tables) -> DataFrame:
 @query("""WITH r AS (SELECT event_type, value, rank() OVER w + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS a, rank() OVER v + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS b
     FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value), v AS (PARTITION BY event_type ORDER BY user_id)) SELECT event_type, round(corr(a, b), 6) AS ic FROM r GROUP BY 1""")
 def rank_correlation(t: Tables) -> DataFrame:
-    """AG-23"""
-    def average_rank(c):
-        return F.rank().over(Window.partitionBy("event_type").orderBy(c)) + (F.count("*").over(Window.partitionBy("event_type", c)) - 1) / 2.0
-
-    return t.events.select("event_type", average_rank("value").alias("a"), average_rank("user_id").alias("b")).groupBy("event_type").agg(F.round(F.corr("a", "b"), 6).alias("ic"))
+    """AG-23: over all rows of a type; types may be few, so ranks come from range partitions."""
+    a = ranks.average_rank(t.events, "event_type", "value", "event_id", "a")
+    b = ranks.average_rank(t.events, "event_type", "user_id", "event_id", "b")
+    return t.events.select("event_type", "event_id").join(a, "event_id").join(b, "event_id").groupBy("event_type").agg(F.round(F.corr("a", "b"), 6).alias("ic"))
 
 
 @query("SELECT event_type, l[len(l) // 2 + 1] AS p50, l[CAST(floor(len(l) * 0.9) AS BIGINT) + 1] AS p90, l[len(l) // 4 + 1] AS p25 FROM (SELECT event_type, list(value ORDER BY value) AS l FROM events GROUP BY 1)")
 def index_percentiles(t: Tables) -> DataFrame:
-    """AG-26: percentiles by place, without interpolation, from ranks and not from one collected list."""
-    n, k = F.count("*").over(Window.partitionBy("event_type")), F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1
-    x = t.events.select("event_type", "value", n.alias("n"), k.alias("k"))
-    at = lambda e: F.max(F.when(F.col("k") == F.expr(e), F.col("value")))
-    return x.groupBy("event_type").agg(at("n div 2").alias("p50"), at("cast(floor(n * 0.9D) as bigint)").alias("p90"), at("n div 4").alias("p25"))
+    """AG-26: percentiles by place, without interpolation."""
+    x = ranks.positions(t.events.select("event_type", "value", "event_id"), "event_type", "value", "event_id")
+    at = lambda e: F.max(F.when(F.col("place") == F.expr(e), F.col("value")))
+    return x.groupBy("event_type").agg(at("size div 2").alias("p50"), at("cast(floor(size * 0.9D) as bigint)").alias("p90"), at("size div 4").alias("p25"))
 
 
 @query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1) SELECT event_id FROM events JOIN q USING (event_type) WHERE value > b + 1.5 * (b - a)""")
 def iqr_outliers(t: Tables) -> DataFrame:
-    """AG-27"""
-    q = t.events.groupBy("event_type").agg(F.percentile("value", F.lit(0.25)).alias("a"), F.percentile("value", F.lit(0.75)).alias("b"))
+    """AG-27 in part: the fence alone."""
+    q = ranks.quantiles(t.events, "event_type", "value", "event_id", {"a": 0.25, "b": 0.75})
     return t.events.join(q, "event_type").where("value > b + 1.5 * (b - a)").select("event_id")
 
 

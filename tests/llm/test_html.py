@@ -2,6 +2,8 @@ import pytest
 
 from tessera.llm import html
 
+html_module = html
+
 SCHEMA = "page_id long, url string, html string, path string"
 RUN = "The main text of this page goes on for quite a while, as articles do, and says one thing after another."
 
@@ -45,3 +47,31 @@ def test_hosts_agree(spark):
 
 def test_empty(spark):
     assert html.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+PROSE = "Plain running words of an article that go on for a while. " * 6
+
+
+def page_text(html):
+    return html_module.Page(html).text(None)
+
+
+def test_class_words_only_suggest_side_matter():
+    from tessera.llm.html import side_matter
+
+    for names in ("content has-sidebar", "post with-comments", "single comments-open", "no-sidebar page"):
+        assert side_matter("div", names, False) is None
+    assert side_matter("div", "sidebar-left", False) == "side" and side_matter("div", "comment-body", False) == "comments" and side_matter("section", "post-comments", False) == "comments"
+    assert side_matter("body", "comments sidebar", False) is None and side_matter("article", "post has-comments", False) is None
+    want = PROSE.strip()
+    assert page_text(f'<body><div class="content has-sidebar"><p>{PROSE}</p></div><div class="sidebar"><p>Side words.</p></div></body>') == want
+    assert page_text(f'<body><div class="widget-article"><p>{PROSE}</p></div><div class="widget"><p>Side words.</p></div></body>') == want
+    assert page_text(f'<body class="single comments-open"><article class="post has-comments"><p>{PROSE}</p><div class="comments"><p>{PROSE * 9}</p></div></article></body>') == want
+    assert page_text("<body><div class='menu'></div></body>") == ""
+
+
+def test_long_paths_stay_apart():
+    from tessera.llm.html import path_key
+
+    deep = "div.abcdefgh/" * 200
+    assert path_key(deep + "div.a") != path_key(deep + "div.b") and -(2**63) <= path_key(deep) < 2**63

@@ -133,3 +133,26 @@ def test_upsert_and_versions(spark):
     new = spark.createDataFrame([(2, "x"), (3, None), (4, "n")], "k int, v string")
     assert {r["k"]: (r["action"], r["v"]) for r in sinks.upsert(old, new, "k").collect()} == {1: ("stale", "a"), 2: ("updated", "x"), 3: ("unchanged", None), 4: ("added", "n")}
     assert sinks.unseen(spark.createDataFrame([], "record_hash string"), new.unionByName(new), ["k", "v"]).count() == 3
+
+
+def test_places_of_a_hot_group(spark):
+    from tessera.operators import ranks
+
+    rows = [("hot", float(i % 7), i) for i in range(500)] + [("cold", 1.0, 1000), ("cold", None, 1001), (None, 2.0, 1002)]
+    df = spark.createDataFrame(rows, "g string, v double, i long")
+    got = ranks.positions(df, "g", "v", "i").collect()
+    for g in ("hot", "cold", None):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: r["place"])
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        assert [r["i"] for r in own] == [r[2] for r in want] and [r["place"] for r in own] == list(range(len(want))) and {r["size"] for r in own} <= {len(want)}
+    q = {r["g"]: r["m"] for r in ranks.quantiles(df, "g", "v", "i", {"m": 0.5}).collect()}
+    assert q == {"hot": 3.0, "cold": 1.0, None: 2.0}
+    assert ranks.positions(df.limit(0), "g", "v", "i").count() == 0
+
+
+def test_cycles(spark):
+    from tessera.operators import market
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (6, 7), (None, 1), (8, 9), (9, 8), (9, 10)], "task int, pred int")
+    assert {r["task"] for r in market.on_cycles(edges).collect()} == {1, 2, 3, 5, 8, 9}
+    assert market.on_cycles(edges.limit(0)).count() == 0

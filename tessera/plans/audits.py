@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import ranks
 from tessera.operators import windows as w
-from tessera.plans.registry import Tables, query
+from tessera.plans.process import flow_verdicts
+from tessera.plans.registry import ORACLES, Tables, query
 from tessera.plans.timeseries import PANEL, panel
 
 
@@ -161,3 +162,48 @@ def table_fills(t: Tables) -> DataFrame:
     empty = F.lit("")
     down = F.array(*[F.coalesce(F.last(k, ignorenulls=True).over(above), empty) for k in "abc"])
     return x.select("tab", "line", down.alias("down"), F.array(F.coalesce("a", empty), F.coalesce("b", "a", empty), F.coalesce("c", "b", "a", empty)).alias("across"))
+
+
+# The ladder of steps and the number of intervals of an axis.
+STEPS, INTERVALS = (1.0, 2.0, 2.5, 5.0, 10.0), 4
+
+
+@query(f"""WITH {PANEL}, r AS (SELECT ticker, min(low) AS lo, CASE WHEN max(high) > min(low) THEN max(high) ELSE min(low) + 1 END AS hi FROM panel GROUP BY 1), e AS (SELECT *, floor(log10((hi - lo) / {INTERVALS})) AS e FROM r),
+    c AS (SELECT ticker, lo, hi, unnest([{", ".join(f"{s} * power(10.0::DOUBLE, e + {m})" for m in (0, 1, 2) for s in STEPS)}]) AS step FROM e),
+    m AS (SELECT ticker, any_value(lo) AS lo, min(step) AS step FROM c WHERE step >= (hi - lo) / {INTERVALS} AND floor(lo / step) * step + step * {INTERVALS} >= hi GROUP BY 1)
+    SELECT ticker, step, [round(floor(lo / step) * step + step * k, 6) FOR k IN range({INTERVALS + 1})] AS ticks FROM m""")
+def axis_ticks(t: Tables) -> DataFrame:
+    """FN-18: five ticks per ticker on the least step of the ladder whose grid covers the lowest and the highest price."""
+    r = panel(t).groupBy("ticker").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).withColumn("hi", F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + 1))
+    raw = (F.col("hi") - F.col("lo")) / INTERVALS
+    first = lambda s: F.floor(F.col("lo") / s) * s
+    ladder = F.array(*[s * F.pow(F.lit(10.0), F.floor(F.log10("raw")) + m) for m in (0, 1, 2) for s in STEPS])
+    fits = lambda s: (s >= F.col("raw")) & (first(s) + s * INTERVALS >= F.col("hi"))
+    x = r.withColumn("raw", raw).withColumn("step", F.array_min(F.filter(ladder, fits)))
+    return x.select("ticker", "step", F.array(*[F.round(first(F.col("step")) + F.col("step") * k, 6) for k in range(INTERVALS + 1)]).alias("ticks"))
+
+
+@query("""WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') % 4 + count(DISTINCT event_type) FILTER (event_type IN ('click', 'error')) * 2 + count(DISTINCT CAST(ts AS DATE)) FILTER (event_type = 'error') % 3 - 2 AS score FROM events GROUP BY 1)
+    SELECT user_id, score, CASE WHEN score >= 6 THEN 'High' WHEN score >= 3 THEN 'Medium' ELSE 'Low' END AS influence FROM g""")
+def influence(t: Tables) -> DataFrame:
+    """FN-22: interactions, twice the domains and the tickets of a person. Purchases, kinds of event and days with errors stand in, brought down to small numbers so that all levels occur."""
+    kind = F.col("event_type")
+    score = F.count_if(kind == "purchase") % 4 + F.count_distinct(F.when(kind.isin("click", "error"), kind)) * 2 + F.count_distinct(F.when(kind == "error", F.to_date("ts"))) % 3 - 2
+    g = t.events.groupBy("user_id").agg(score.alias("score"))
+    return g.select("user_id", "score", F.when(F.col("score") >= 6, "High").when(F.col("score") >= 3, "Medium").otherwise("Low").alias("influence"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), o AS (SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+    SELECT c_custkey AS k, c_nationkey AS n, f.n AS n_cons, f.v AS v_cons, o.n AS n_calc, o.v AS v_calc FROM customer LEFT JOIN f ON f.k = c_custkey LEFT JOIN o ON o.k = c_custkey""")
+def suffix_chain(t: Tables) -> DataFrame:
+    """JN-02: a chain of left joins in which names that clash get their source's suffix."""
+    side = lambda status, suffix: t.orders.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias(f"n{suffix}"), F.round(F.sum("o_totalprice"), 2).alias(f"v{suffix}"))
+    base = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    return base.join(side("F", "_cons"), "k", "left").join(side("O", "_calc"), "k", "left")
+
+
+@query(f"SELECT verdict, count(*) AS cases, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ({ORACLES['flow_verdicts']}) GROUP BY 1")
+def verdict_counters(t: Tables) -> DataFrame:
+    """AG-41: cases by verdict and their share of all."""
+    c = flow_verdicts(t).groupBy("verdict").agg(F.count("*").alias("cases"))
+    return c.join(F.broadcast(c.agg(F.sum("cases").alias("all")))).select("verdict", "cases", F.round(F.col("cases") / F.col("all"), 6).alias("share"))  # one row per verdict

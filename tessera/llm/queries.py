@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontam, embeddings, html, langid, minhash, packing, quality, suffix_dedup, toxicity, warc
+from tessera.llm import codebooks, decontam, embeddings, html, langid, linerules, minhash, packing, quality, suffix_dedup, tandem, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +57,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train_quality(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_toxicity, op4_packing, op5_language_id, op6_decontamination, op7_warc, op8_html_extraction, op9_embeddings, op10_quality)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents, every tenth of them made periodic first; see ``tandem`` for nulls, ties and repeats."""
+    return tandem.run_digests(tandem.find_runs(tandem.with_cycles(_read(spark, sf_dir, "documents"))))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of line-first cleaning over all documents; see ``linerules`` for nulls, ties and repeats."""
+    return linerules.clean_lines(_read(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors; see ``codebooks`` for nulls, ties and repeats."""
+    coded, books = codebooks.compress(_read(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codebooks.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_toxicity, op4_packing, op5_language_id, op6_decontamination, op7_warc, op8_html_extraction, op9_embeddings, op10_quality, op11_periodic_runs, op12_quality_rules, op13_vector_codes)}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op12_quality_rules": linerules.ORACLE_SQL,
+    "op13_vector_codes": codebooks.oracle_sql(),
     "op7_warc": """
         WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         digest AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS d FROM page),

@@ -269,11 +269,15 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, cells: int | None = N
     return clean.unionByName(rest)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cells: int | None = None) -> DataFrame:
-    """The rows that hold no window of the benchmark, with all their columns."""
-    scratch = Scratch(docs.sparkSession, "decontam")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cells: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """The rows that hold no window of the benchmark, with all their columns.
+
+    The result reads tables of ``scratch``, which its owner may drop once the result is written.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "decontam")
     _, hits = _find(docs, benchmark, scratch, cells)
     gone = scratch.table(hits.select("k1", "k2").distinct(), "gone")
+    scratch.drop("windows", "prefixes", "described", "hits")
     if gone.count() <= BROADCAST_GONE:
         gone = F.broadcast(gone)
     k1, k2 = _text_keys("k1", "k2")

@@ -294,7 +294,10 @@ def groups(docs: DataFrame, scratch: Scratch, least: float, bands: int, rows: in
     needed = members.select("f").distinct().join(classes.select("f", "leader"), "f")
     texts = needed.join(described.select("did", "h", "text", F.col("f").alias("g")), (F.col("f") == F.col("g")) & F.struct("did", "h").eqNullSafe(F.col("leader"))).select("f", "text").dropDuplicates(["f"])
     texts = scratch.table(texts, "texts")
+    described = scratch.table(described.select("did", "h", "f"), "ids")
+    scratch.drop("described", "chosen")
     verified = scratch.table(verify(pairs, texts, rarity), "verified")
+    scratch.drop("pairs")
     links = verified.where(F.col("similarity") >= least).select(F.col("x").alias("u"), F.col("y").alias("v"))
     component = scratch.table(connected_components(links, scratch), "component")
 
@@ -313,7 +316,7 @@ def groups(docs: DataFrame, scratch: Scratch, least: float, bands: int, rows: in
     named = of_class.select("f", "component").join(scratch.table(best, "best"), "component").select("f", F.col("best.did").alias("group"), F.coalesce("best.leader", "any").alias("leader"))
     out = described.select("did", "h", "f").join(scratch.table(named, "named"), "f", "left").select("did", "h", F.when(F.col("f").isNull(), F.col("did")).otherwise(F.col("group")).alias("group"), "leader")
     out = scratch.table(out, "groups")
-    scratch.drop("described", "classes", "chosen", "members", "pairs", "texts", "verified", "component", "component2", "placed", "open_keys", "sizes", "more", "of_class", "best", "named", "edges0", "edges1")
+    scratch.drop("ids", "classes", "members", "texts", "verified", "component", "component2", "placed", "open_keys", "sizes", "more", "of_class", "best", "named", "edges0", "edges1")
     return out
 
 
@@ -323,14 +326,18 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
     return found.select(F.col("did").alias("doc_id"), F.col("group").alias("group_id"), (F.col("leader").isNull() | F.col("leader").eqNullSafe(F.struct("did", "h"))).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """docs with one document of each group; a document whose row repeats stays once, rows without words all stay."""
-    scratch = Scratch(docs.sparkSession, "minhash")
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch | None = None, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """docs with one document of each group; a document whose row repeats stays once, rows without words all stay.
+
+    The result reads tables of ``scratch``, which its owner may drop once the result is written.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
     found = groups(docs, scratch, least, bands, rows, block)
     gone = found.where(F.col("leader").isNotNull() & ~F.col("leader").eqNullSafe(F.struct("did", "h"))).select(F.col("did").alias("__did"), F.col("h").alias("__h")).distinct()
     keyed = docs.withColumn("__did", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("doc_id", "text"))
     again = found.where("leader is not null").groupBy("did", "h").count().where("count > 1").select(F.col("did").alias("__did"), F.col("h").alias("__h"))
     gone, again = scratch.table(gone, "gone"), scratch.table(again, "again")
+    scratch.drop("groups")
     if gone.count() <= BROADCAST_GONE:
         gone = F.broadcast(gone)
     same = lambda x: keyed["__did"].eqNullSafe(x["__did"]) & (keyed["__h"] == x["__h"])

@@ -225,9 +225,12 @@ def _piece_packer(length: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, closing: int = CLOSING) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (bytes), doc_tokens, sequence_id, offset."""
-    scratch = Scratch(docs.sparkSession, "packing")
+def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, closing: int = CLOSING, scratch: Scratch | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (bytes), doc_tokens, sequence_id, offset.
+
+    The result reads tables of ``scratch``, which its owner may drop once the result is written.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     tokens = scratch.table(tokenize(docs, path, closing), "tokens")
     size = tokens.agg(F.sum(F.octet_length("ids"))).head()[0] or 0
     many = max(1, -(-size // min(max(size // 2000, LEAST_PARTITION), MOST_PARTITION)))

@@ -372,9 +372,9 @@ def merge(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, **sizes) -> DataFrame:
+def _with_spans(docs: DataFrame, scratch: Scratch | None, **sizes) -> DataFrame:
     """docs (text compressed) with a column of spans, last."""
-    spans = removal(docs, Scratch(docs.sparkSession, "suffix"), **sizes).select(F.col("did").alias("__did"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    spans = removal(docs, scratch or Scratch(docs.sparkSession, "suffix"), **sizes).select(F.col("did").alias("__did"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
     rows = docs.withColumn("__did", F.coalesce("doc_id", F.lit(0)).cast("long")).withColumn("__h", F.xxhash64("doc_id", "text"))
     return compressed(rows).join(spans, ["__did", "__h"], "left").select(*docs.columns, "__spans")
 
@@ -388,7 +388,7 @@ def _pieces(text: pa.Scalar, spans: pa.Scalar, unpack) -> tuple[bytes, list[tupl
 
 def removal_report(docs: DataFrame, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, changed (bytes were removed) for each row of docs."""
-    rows = _with_spans(docs.select("doc_id", "text"), **sizes)
+    rows = _with_spans(docs.select("doc_id", "text"), None, **sizes)
 
     def report(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -404,9 +404,12 @@ def removal_report(docs: DataFrame, **sizes) -> DataFrame:
     return rows.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean")
 
 
-def remove_repeats(docs: DataFrame, **sizes) -> DataFrame:
-    """docs with the repeated bytes gone from text; a character cut in two goes as well, null stays null, n_chars (if there) is counted anew."""
-    rows = _with_spans(docs, **sizes)
+def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, **sizes) -> DataFrame:
+    """docs with the repeated bytes gone from text; a character cut in two goes as well, null stays null, n_chars (if there) is counted anew.
+
+    The result reads tables of ``scratch``, which its owner may drop once the result is written.
+    """
+    rows = _with_spans(docs, scratch, **sizes)
     names, at, chars = list(docs.columns), docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches):

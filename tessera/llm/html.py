@@ -5,9 +5,12 @@ votes, summed per host in Spark; each page is then extracted again from the cont
 from its own best container if it has none there.
 
 Left out wherever they stand: navigation, page headers, footers, sidebars, forms, scripts, styles, adverts, notices and
-reader comments, told by element, role, and words of class and id. Words of class and id only suggest it: an element that holds
-most of a page's running text stays, unless they name comments. States such as ``has-sidebar`` or ``comments-open`` say nothing. Character references are decoded, white space within a
-block becomes one space, blocks are joined by one space.
+reader comments, told by element, role, and names in class and id. A name counts by its head noun: the last word that does not merely say what kind of
+box or where it is (``ad-box``, ``sidebar-left``), so ``related-work`` or ``reply-to-critics`` say nothing, nor do states such as ``has-sidebar`` or ``comments-open``, nor names of paragraphs,
+headings and other elements that hold text themselves. An element that holds most of a page's running text stays, unless its name is comments.
+
+Beside the chosen container its siblings count if they are articles' prose too: of the same kind of path, or with sentences of their own and few links. So a lead
+or a second part in a container of its own stays. Character references are decoded, white space within a block becomes one space, blocks are joined by one space.
 
 Null or empty html gives an empty text; a null url counts as a host of its own (''). Rows that repeat are extracted each.
 Columns other than page_id, url and html are not read.
@@ -43,12 +46,19 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager toolbar skip disclaimer hidden".split()
 )
 
-COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words of names that only say what sort of box something is, or where.
+BOXES = frozenset("box boxes body wrap wrapper container area list lists item items inner outer block blocks section slot unit bar panel left right top bottom middle center main wide narrow buttons button links link text posts row col column desktop mobile v".split())
+#: Elements that may be side matter by name; others hold text themselves.
+NAMED = frozenset("div section table tbody tr td ul ol dl header article details figure center".split())
+#: A sibling of the chosen container belongs to it with this many characters of sentences that are not links, at least four times as many as of links.
+SIBLING = 80
 STATES = frozenset("has with no not without is open opened closed enabled disabled on off".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SENTENCE = re.compile(r"[.!?…]['\"”’»)]*$|[。！？]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCES = frozenset("ul ol dl table article section div main body td aside nav form".split())
@@ -56,16 +66,19 @@ _FENCES = frozenset("ul ol dl table article section div main body td aside nav f
 
 def side_matter(tag: str, names: str, in_article: bool) -> str | None:
     """What words of class and id say of an element: ``comments``, ``side`` (menus, adverts and the like) or nothing."""
-    if tag in ("body", "html", "main"):
+    if tag not in NAMED:
         return None
     out = None
     for token in names.split():
         words = [w.lower() for w in _PART.findall(token)]
         if not words or words[0] in STATES or words[-1] in STATES:
             continue
-        if words[0] in COMMENTS or words[-1] in COMMENTS and tag != "article":
+        while len(words) > 1 and words[-1] in BOXES:
+            words.pop()
+        head = words[-1]
+        if head in COMMENTS and (tag != "article" or len(words) == 1):
             return "comments"
-        if tag != "article" and any(w in MARKS and not (in_article and w == "header") for w in words):
+        if tag != "article" and head in MARKS and not (in_article and head == "header"):
             out = "side"
     return out
 
@@ -82,6 +95,7 @@ class Page:
         self.blocks: list[tuple[str, tuple[int, ...], bool, int]] = []  # text, containers from outside in, dropped, characters of links
         self.paths: list[str] = []
         self.tags: list[str] = []
+        self.parents: list[int] = []
         self.sides: list[tuple[int, ...]] = []  # of each block, the elements around it that may be side matter
         self._parse(html)
         self._judge()
@@ -140,7 +154,8 @@ class Page:
                 if side == "side":
                     elements += 1
                     sides = (*sides, elements)
-                dropped = dropped or side == "comments" or (found.get("role") or "").lower() in ROLES or bool(_HIDDEN.search(found.get("style") or "")) or found.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes))
+                bare = {k.lower() for k in _ATTRIBUTE.sub(" ", attributes).replace("/", " ").split()}
+                dropped = dropped or side == "comments" or (found.get("role") or "").lower() in ROLES or bool(_HIDDEN.search(found.get("style") or "")) or found.get("aria-hidden") == "true" or "hidden" in bare or found.get("hidden", "until-found") != "until-found"
                 if found.get("class"):
                     name += "." + re.sub(r"\d+", "0", found["class"].split()[0] if found["class"].split() else "")
             dropped = dropped or (tag == "header" and not in_article)
@@ -149,6 +164,7 @@ class Page:
                 container = len(self.paths)
                 self.paths.append((self.paths[around[-1]] + "/" if around else "") + name)
                 self.tags.append(tag)
+                self.parents.append(around[-1] if around else -1)
                 around.append(container)
             stack.append((tag, dropped, container, sides))
             in_link += tag == "a"
@@ -231,15 +247,28 @@ class Page:
     def text(self, path: int | None) -> str:
         """The text below the containers on this path, or below the page's best container."""
         chosen = {c for c, p in enumerate(self.paths) if path is not None and path_key(p) == path}
-        picked = [t for t, around, dropped, _ in self.blocks if not dropped and not chosen.isdisjoint(around)]
-        if not picked:
+        if not any(not dropped and not chosen.isdisjoint(around) for _, around, dropped, _ in self.blocks):
             scores = self.scores()
-            if scores:
-                best = max(scores, key=lambda c: (scores[c], -c))
-                picked = [t for t, around, dropped, _ in self.blocks if not dropped and best in around]
-            else:
-                picked = [t for t, around, dropped, _ in self.blocks if not dropped and not around]
-        return " ".join(picked)
+            if not scores:
+                return " ".join(t for t, around, dropped, _ in self.blocks if not dropped and not around)
+            chosen = {max(scores, key=lambda c: (scores[c], -c))}
+        chosen |= self._siblings(chosen)
+        return " ".join(t for t, around, dropped, _ in self.blocks if not dropped and not chosen.isdisjoint(around))
+
+    def _siblings(self, chosen: set[int]) -> set[int]:
+        """Containers next to the chosen ones, within the same parent, that hold prose of their own."""
+        prose: dict[int, int] = {}
+        linked: dict[int, int] = {}
+        beside = {self.parents[c] for c in chosen} - {-1}
+        for text, around, dropped, links in self.blocks:
+            if dropped or not chosen.isdisjoint(around):
+                continue
+            for parent, c in zip(around, around[1:]):
+                if parent in beside:
+                    linked[c] = linked.get(c, 0) + links
+                    if _SENTENCE.search(text):
+                        prose[c] = prose.get(c, 0) + len(text) - links
+        return {c for c, n in prose.items() if n >= SIBLING and n >= 4 * linked[c]}
 
 
 def host_of(url):

@@ -64,7 +64,7 @@ def stems(texts: pa.Array, bits: int):
 
 
 def window_stems(texts: pa.Array, bits: int, half: int):
-    """Yield (first, last, first window of each text, window, feature): the stems of windows of ``2 * half`` words, one every ``half`` words.
+    """Yield (first, last, first window of each text, number of windows of each, window, feature): the stems of windows of ``2 * half`` words, one every ``half`` words.
 
     A text has one window at least, and every word is in one at least; what counts twice or four times does so in one window.
     """
@@ -79,7 +79,7 @@ def window_stems(texts: pa.Array, bits: int, half: int):
             own, before = np.flatnonzero(step < n[doc]), np.flatnonzero(step >= 1)
             return np.concatenate([own, before]), np.concatenate([(first[doc] + step)[own], (first[doc] + step)[before] - 1])
 
-        yield lo, hi, first, *_stems_of(w, bits, spread)
+        yield lo, hi, first, n, *_stems_of(w, bits, spread)
 
 
 def row_sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:

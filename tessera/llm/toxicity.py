@@ -3,8 +3,9 @@
 A linear classifier over hashed stems of words (their first bytes, and how often a text has them) learns from texts known to be toxic and from texts of unknown class. With
 the class prior p, the risk of calling unlabelled text toxic is corrected for the toxic texts hidden in it and
 never lets the corrected part fall below zero: ``p R+(positive) + max(0, R-(unlabelled) - p R-(positive))``.
-A text's margin is that of its highest window of 100 words, so that it does not grow with the length or the vocabulary of clean
-text. A line fitted on the margins of labelled texts then turns the margin into a probability.
+A text's margin is that of its highest window of 100 words, less what the highest of so many clean windows rises above one by chance: the tail of clean
+windows is exponential at some rate, so their highest grows by the logarithm of their number over that rate. So the margin does not grow with the length
+or the vocabulary of clean text. A line fitted on the margins of labelled texts then turns the margin into a probability.
 
 Whole texts of all rows are scored, in windows that overlap by half. Null and empty texts get the score of a text without features. Rows that
 repeat are scored each. Without a single toxic label every score is 0. Columns other than doc_id and text are not read.
@@ -30,6 +31,10 @@ THRESHOLD = 0.7
 BITS = 22
 #: A window of a text is twice this many words, and the next one begins this many words later.
 HALF_WINDOW = 50
+#: Margins of windows are counted in this many bins of this width around 0.
+BINS, BIN = 4000, 0.02
+#: The tail of clean windows are those above this quantile.
+TAIL_FROM = 0.9
 
 
 @dataclass
@@ -37,15 +42,24 @@ class ToxicityModel:
     weights: np.ndarray
     slope: float
     offset: float
+    rise: float = 0.0  # of the highest clean window with the logarithm of the number of windows
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * margin + self.offset) if self.slope else np.zeros(len(margin))
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        """The highest margin of a window of each text."""
+        """The highest margin of a window of each text, less its rise by chance."""
         out = np.zeros(len(texts))
-        for lo, hi, first, window, feature in window_stems(texts, BITS, HALF_WINDOW):
-            out[lo:hi] = np.maximum.reduceat(row_sums(window, self.weights[feature], max(first[-1], window.max(initial=0)) + 1), first)
+        for lo, hi, first, n, window, feature in window_stems(texts, BITS, HALF_WINDOW):
+            out[lo:hi] = np.maximum.reduceat(row_sums(window, self.weights[feature], first[-1] + n[-1]), first) - self.rise * np.log(n)
+        return out
+
+    def tail(self, texts: pa.Array) -> np.ndarray:
+        """How many windows of the texts have their margin in each bin of ``BIN``."""
+        out = np.zeros(BINS, dtype=np.int64)
+        for _, _, first, n, window, feature in window_stems(texts, BITS, HALF_WINDOW):
+            margin = row_sums(window, self.weights[feature], first[-1] + n[-1])
+            out += np.bincount(np.clip(np.floor(margin / BIN) + BINS // 2, 0, BINS - 1).astype(np.int64), minlength=BINS)
         return out
 
 
@@ -120,11 +134,40 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     if not positive or not unlabelled:
         return ToxicityModel(np.zeros(1 << BITS, dtype=np.float32), 0.0, 0.0)
     model = ToxicityModel(fit_nnpu(positive, unlabelled, prior, 1 << BITS), 1.0, 0.0)
+    model.rise = _rise(docs, known, model)
     margin, label = _labelled_margins(docs, known, model)
     model.slope, model.offset = fit_line(margin, label)
     return model
 
 
+def mean_excess(counts: np.ndarray) -> float:
+    """Mean by which margins in the tail pass the quantile at which it begins; 0 without a tail."""
+    upto, middle = np.cumsum(counts), (np.arange(BINS) - BINS // 2 + 0.5) * BIN
+    if not upto[-1]:
+        return 0.0
+    begin = int(np.searchsorted(upto, TAIL_FROM * upto[-1]))
+    above = counts[begin + 1 :]
+    return float((above * (middle[begin + 1 :] - middle[begin])).sum() / above.sum()) if above.sum() else 0.0
+
+
+def _rise(docs: DataFrame, known: DataFrame, model: ToxicityModel) -> float:
+    """Mean excess of the windows of the clean documents of ``known``, from counts that Spark adds up."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches):
+        total = np.zeros(BINS, dtype=np.int64)
+        for batch in batches:
+            total += shared.value.tail(batch.column(0))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), pa.array(total[some])], names=["bin", "n"])
+
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known.where("toxic = 0")), "doc_id").select("text")
+    counts = np.zeros(BINS, dtype=np.int64)
+    for r in rows.mapInArrow(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"]] = r["n"]
+    return mean_excess(counts)
+
+
 def _labelled_margins(docs: DataFrame, known: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
     """Margins and labels of the documents of ``known``, in an order that is the same at every run."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,4 +1,12 @@
-"""A pipeline of five stages over ``documents``: drop toxic texts, near-copies, repeated passages and benchmark leaks, then pack."""
+"""A pipeline of five stages over ``documents``: drop toxic texts, near-copies, repeated passages and benchmark leaks, then pack.
+
+Each stage's result must be written before the next stage is called: a stage's own tables between its steps go when the
+next one begins, and ``run`` drops a stage's result once the one after it is written, so disk holds two results at most.
+
+Null texts pass all stages as empty ones (they are never toxic by their words, copies, or contaminated) and are packed as a closing id; rows with
+null ids are kept and compared like others; of rows that repeat a document one stays; ties between copies go to the smallest id; columns beyond
+doc_id and text are carried along unread to the last stage; an empty table gives empty results.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +16,23 @@ from tessera.llm import decontam, minhash, packing, suffix_dedup, toxicity
 from tessera.llm.scratch import Scratch
 
 
+_open: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, stage: str) -> Scratch:
+    """For the tables of one stage; those of the stage before are dropped, as its result has been written by now."""
+    _close(spark)
+    _open.append(Scratch(spark, stage))
+    return _open[-1]
+
+
+def _close(spark: SparkSession) -> None:
+    while _open:
+        last = _open.pop()
+        if last.spark is spark:
+            last.drop()
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -16,24 +41,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, _scratch(spark, "near_duplicates"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by repeated strings of 400 bytes go; every document stays, with what is left of its text."""
-    return suffix_dedup.remove_repeats(docs)
+    return suffix_dedup.remove_repeats(docs, _scratch(spark, "repeated_passages"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=_scratch(spark, "decontamination"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: one row per piece of a document, with its ids."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), scratch=_scratch(spark, "packing"))
 
 
 STAGES = [
@@ -51,7 +76,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet and read again."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.drop(last)
+        last = name
+    _close(spark)
     return docs

@@ -101,3 +101,45 @@ def restore_values(rows: DataFrame, id: str, row: str, cells: str, pattern: str
     each = body.select("id", "row", "label", "periods", F.posexplode(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))).alias("at", "text"))
     period = F.when(F.col("at") < F.coalesce(F.size("periods"), F.lit(0)), F.expr("get(periods, at)")).otherwise(F.concat(F.lit("col"), F.col("at").cast("string")))
     return each.select(F.col("id").alias(id), F.col("row").alias(row), "label", period.alias("period"), _strip(F.col("text")).alias("text"))
+
+
+def zip_and_vote(first: DataFrame, second: DataFrame, page: str, order: str, cells: str, near: float = 1.2) -> DataFrame:
+    """page, place, engine, verdict, order, cells: the tables that two engines found on a page, paired by place, one kept of each pair.
+
+    A table without a partner is ``solo``; if the numbers of cells differ by a fifth or less the first engine's is ``confirmed``, else the
+    one with more cells is ``larger`` (the first of equals). An empty table counts as one cell in the comparison.
+    """
+    place = F.row_number().over(Window.partitionBy(page).orderBy(order))
+    a, b = (x.select(F.col(page).alias("page"), place.alias("place"), F.struct(F.col(order).alias("order"), F.col(cells).alias("cells")).alias(s)) for x, s in ((first, "a"), (second, "b")))
+    m, n = F.col("a.cells"), F.col("b.cells")
+    agree = F.greatest(m, n) / F.greatest(F.least(m, n), F.lit(1)) <= near
+    own = F.col("b").isNull() | F.col("a").isNotNull() & (agree | (m >= n))
+    verdict = F.when(F.col("a").isNull() | F.col("b").isNull(), "solo").when(agree, "confirmed").otherwise("larger")
+    kept = F.when(own, F.col("a")).otherwise(F.col("b"))
+    both = a.join(b, ["page", "place"], "full").select("page", "place", F.when(own, "first").otherwise("second").alias("engine"), verdict.alias("verdict"), kept.alias("t"))
+    return both.select(F.col("page").alias(page), "place", "engine", "verdict", F.col("t.order").alias(order), F.col("t.cells").alias(cells))
+
+
+# What is noise in a line of a page, lines that are labels of an axis, and the end of a sentence.
+NOISE = r"\{.*?\}|[\x00-\x08\x0b\x0c\x0e-\x1f]|^[-+]? *[0-9]+ *- *$"
+AXIS = r"^[-+]?[0-9\s,.]+%?$|^(?:[0-9]+[OBoS]+|[sS]o+|JO+|I+)$"
+SENTENCE_END = "[。！？.!?]$"
+#: Shorter lines are titles; lines that agree in so many characters are repeats.
+TITLE, SAME = 20, 80
+
+
+def repair_blocks(blocks: DataFrame, id: str, line: str, text: str) -> DataFrame:
+    """id, block (from 1), text, lines: lines of a page cleaned of noise, axis labels, stubs and repeats (the first stays), and joined to the ends of their sentences.
+
+    A title stands alone and ends what comes before it. What no sentence end follows is a block too. Lines of one page are ordered in one task.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.translate(_strip(F.regexp_replace(text, NOISE, " ")), "\u3000\u00a0", "  "), "(?<=[一-龥])\\s+(?=[一-龥])", ""), " {2,}", " ")
+    rows = blocks.select(F.col(id).alias("id"), F.col(line).alias("line"), bare.alias("text")).where((F.length("text") >= 2) & ~_strip(F.col("text")).rlike(AXIS))
+    first = rows.groupBy("id", F.substring("text", 1, SAME).alias("key")).agg(F.min(F.struct("line", "text")).alias("f")).select("id", "f.*")
+    along = Window.partitionBy("id").orderBy("line")
+    title, ends = F.length("text") < TITLE, _strip(F.col("text")).rlike(SENTENCE_END)
+    marked = first.withColumn("title", title).withColumn("stop", title | ends)
+    opens = F.col("title") | F.coalesce(F.lag("stop").over(along), F.lit(True))
+    numbered = marked.withColumn("opens", opens).withColumn("block", F.sum(F.col("opens").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    return joined.select(F.col("id").alias(id), "block", _strip(F.array_join(F.transform("lines", lambda x: x["text"]), "")).alias("text"), F.size("lines").alias("lines"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators import calibrate, terms
+from tessera.operators import calibrate, clusters, margins, terms
 from tessera.plans.registry import Tables, query
+from tessera.plans.restore import first_sentence
 
 
 @query("""
@@ -24,7 +25,7 @@ def _g(o: str, e: str) -> str:
 
 
 @query(f"""
-    WITH held AS (SELECT row_number() OVER () AS row, list_distinct(string_split(p_name || ' ' || lower(p_type) || ' ' || lower(p_brand), ' ')) AS terms FROM part),
+    WITH held AS (SELECT row_number() OVER () AS row, list_distinct(regexp_extract_all(lower(trim(regexp_extract(text, '^[^.!?\n]*'))), '[a-zà-öø-ÿ]+')) AS terms FROM conversations),
     spread AS (SELECT row, unnest(terms) AS term FROM held),
     counts AS (SELECT term, count(*) AS c FROM spread GROUP BY term),
     total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM held),
@@ -35,8 +36,9 @@ def _g(o: str, e: str) -> str:
         FROM pair JOIN counts AS x ON a = x.term JOIN counts AS y ON b = y.term, total WHERE n_both * n > x.c * y.c)
     SELECT * FROM scored WHERE score >= 10.83""")
 def term_association(t: Tables) -> DataFrame:
-    """TX-33: words of part names, types and brands that stand together oftener than by chance."""
-    return terms.associated(t.part, F.split(F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand")), " "))
+    """TX-33: words of the first sentences of all turns that stand together oftener than by chance."""
+    words = F.regexp_extract_all(F.lower(first_sentence(F.col("text"))), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
+    return terms.associated(t.conversations, words)
 
 
 _GRID = [-0.5, 0.0, 0.5, 1.0, 1.5]
@@ -111,3 +113,24 @@ _SMOOTH, _SCHEMES = [1, 2, 4, 8], {"equal": [1, 1, 1], "count": [1, 0, 0], "late
 def parameter_grid(t: Tables) -> DataFrame:
     """CTL-05: smoothing and weights by correlation with the next week's change."""
     return calibrate.grid_search(_weeks(t), "segment", "week", ["zn", "zf", "zu"], "next", _SMOOTH, _SCHEMES)
+
+
+@query()
+def vector_clusters(t: Tables) -> DataFrame:
+    """TX-53: all vectors in the number of clusters, from two to five, with the highest silhouette."""
+    found, tried = clusters.best_clusters(t.embeddings, "vec_id", "embedding")
+    return found.select("vec_id", "cluster", F.round("distance", 6).alias("distance"), F.lit(len(tried)).alias("tried"))
+
+
+@query()
+def margin_suggestions(t: Tables) -> DataFrame:
+    """TX-54 and TX-55: learned from documents with a quality label, a suggestion for each without one, where the margin is half or more, with a calibrated probability; elsewhere a rule on length decides."""
+    labels = t.labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = t.documents.join(labels, "doc_id", "left").select("doc_id", F.size(F.split("text", " ")).alias("words"), margins.hashed_words(F.col("text")).alias("cells"), F.when(F.col("quality").isNotNull(), 2 * F.col("quality") - 1).alias("label"))
+    known = rows.where("label is not null").select("cells", "label")
+    weights = margins.train_margins(known)
+    steps = margins.calibrate(margins.score_margins(known, weights))
+    open_rows = margins.score_margins(rows.where("label is null").drop("label"), weights)
+    sure = F.abs("margin") >= 0.5
+    by_rule = F.when(F.col("words") >= 50, 1).otherwise(0)
+    return open_rows.select("doc_id", F.round("margin", 6).alias("margin"), F.round(margins.probability(F.col("margin"), steps), 6).alias("probability"), F.when(sure, (F.col("margin") > 0).cast("int")).otherwise(by_rule).alias("suggested"), F.when(sure, "model").otherwise("rule").alias("backend"))

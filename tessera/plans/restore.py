@@ -176,3 +176,34 @@ def revision_log(t: Tables) -> DataFrame:
         "doc_id", F.size("revisions").alias("n_revisions"), F.col("revisions")[2]["rolled_back"].alias("stale_rolled_back"), F.sha2(at(1), 256).alias("rev1_sha256"), F.sha2(at(2), 256).alias("rev2_sha256"),
         F.sha2("last", 256).alias("rev3_sha256"), (patches.revert(F.col("last"), F.col("revisions"), F.lit(0)) == F.col("text")).alias("reverts"),
     )
+
+
+@query("""
+    WITH a AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderkey, CAST(floor(o_totalprice / 1000) AS BIGINT) AS cells FROM orders WHERE o_orderstatus = 'F'),
+    b AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderkey, CAST(floor(o_totalprice / 1000) AS BIGINT) AS cells FROM orders WHERE o_orderstatus <> 'F'),
+    j AS (SELECT o_custkey, place, a.o_orderkey AS ka, a.cells AS ca, b.o_orderkey AS kb, b.cells AS cb, greatest(a.cells, b.cells) <= 1.2::DOUBLE * greatest(least(a.cells, b.cells), 1) AS agree FROM a FULL JOIN b USING (o_custkey, place)),
+    v AS (SELECT *, kb IS NULL OR ka IS NOT NULL AND (agree OR ca >= cb) AS own FROM j)
+    SELECT o_custkey, CAST(place AS BIGINT) AS place, CASE WHEN own THEN 'first' ELSE 'second' END AS engine, CASE WHEN ka IS NULL OR kb IS NULL THEN 'solo' WHEN agree THEN 'confirmed' ELSE 'larger' END AS verdict,
+           CASE WHEN own THEN ka ELSE kb END AS o_orderkey, CASE WHEN own THEN ca ELSE cb END AS cells FROM v""")
+def engine_votes(t: Tables) -> DataFrame:
+    """JN-14: each customer's finished and other orders as the findings of two engines, paired by place."""
+    sized = t.orders.withColumn("cells", F.floor(F.col("o_totalprice") / 1000))
+    found = tables.zip_and_vote(sized.where("o_orderstatus = 'F'"), sized.where("o_orderstatus <> 'F'"), "o_custkey", "o_orderkey", "cells")
+    return found.withColumn("place", F.col("place").cast("long"))
+
+
+_BARE = "regexp_replace(regexp_replace(translate(" + _STRIP.format("regexp_replace(line, '\\{.*?\\}|[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]|^[-+]? *[0-9]+ *- *$', ' ', 'g')") + ", '\u3000\u00a0', '  '), '([一-龥])\\s+([一-龥])', '\\1\\2', 'g'), ' {2,}', ' ', 'g')"
+
+
+@query(f"""
+    WITH cut AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+    bare AS (SELECT doc_id, i, {_BARE} AS x FROM cut),
+    kept AS (SELECT * FROM bare WHERE length(x) >= 2 AND NOT regexp_matches({_STRIP.format("x")}, '^[-+]?[0-9\\s,.]+%?$|^([0-9]+[OBoS]+|[sS]o+|JO+|I+)$') QUALIFY row_number() OVER (PARTITION BY doc_id, left(x, 80) ORDER BY i) = 1),
+    marked AS (SELECT *, length(x) < 20 AS title, length(x) < 20 OR regexp_matches({_STRIP.format("x")}, '[。！？.!?]$') AS stop FROM kept),
+    opened AS (SELECT *, title OR coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY i), true) AS opens FROM marked),
+    numbered AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS block FROM opened)
+    SELECT doc_id, CAST(block AS BIGINT) AS block, {_STRIP.format("string_agg(x, '' ORDER BY i)")} AS text, CAST(count(*) AS INT) AS lines FROM numbered GROUP BY doc_id, block""")
+def repaired_blocks(t: Tables) -> DataFrame:
+    """TX-43: lines of every document cleaned, repeats dropped and sentences put together."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return tables.repair_blocks(lines, "doc_id", "line", "text")

@@ -28,8 +28,8 @@ from tessera.llm.components import connected_components
 from tessera.llm.scratch import Scratch
 
 LEAST_COSINE = 0.95
-#: Least and most pivots, vectors sampled per pivot to choose from, how many of the nearest describe a vector, and vectors in a block.
-PIVOTS, MOST_PIVOTS, SAMPLE_PER_PIVOT, NEAREST, BLOCK = 256, 4096, 4, 5, 1000
+#: Least and most pivots, vectors sampled per pivot to choose from (in so many bytes at most), how many of the nearest describe a vector at the least pivots, and vectors in a block.
+PIVOTS, MOST_PIVOTS, SAMPLE_PER_PIVOT, SAMPLE_BYTES, NEAREST, BLOCK = 256, 16384, 4, 256_000_000, 5, 1000
 MOST_LENGTHS = 100
 
 
@@ -38,6 +38,11 @@ def pivots_for(rows: int) -> int:
     return int(np.clip(np.ceil(np.sqrt(rows / 5)), PIVOTS, MOST_PIVOTS))
 
 
+def nearest_for(pivots: int) -> int:
+    """One more for every four times the pivots: with more of them a pair of near vectors shares fewer of its nearest."""
+    return NEAREST + max(0, int(np.floor(np.log2(pivots / PIVOTS) / 2)))
+
+
 def usable(docs: DataFrame) -> DataFrame:
     """vec_id, v (doubles of unit length) of vectors that can link."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -47,8 +52,14 @@ def usable(docs: DataFrame) -> DataFrame:
 
 def choose_pivots(classes: DataFrame, pivots: int, sample: int) -> np.ndarray:
     """Unit vectors far from each other, of a bounded sample by hash: each next one is the farthest from all so far."""
-    got = np.array([r["v"] for r in classes.orderBy(F.xxhash64("v"), "cls").limit(sample).select("v").collect()])
-    got /= np.linalg.norm(got, axis=1, keepdims=True)
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(v.values, dtype="<f8").tobytes() for v in batch.column(0)], pa.binary())], names=["v"])
+
+    first = classes.orderBy(F.xxhash64("v"), "cls").limit(sample).select("v").mapInArrow(pack, "v binary").collect()
+    got = np.stack([np.frombuffer(r["v"], "<f8") for r in first])
+    got = got / np.linalg.norm(got, axis=1, keepdims=True)
     near, chosen = got @ got[0], [0]
     while len(chosen) < min(pivots, len(got)):
         chosen.append(int(np.argmin(near)))
@@ -56,7 +67,7 @@ def choose_pivots(classes: DataFrame, pivots: int, sample: int) -> np.ndarray:
     return got[chosen]
 
 
-def index(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
+def index(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int | None) -> DataFrame:
     """list (length and two pivots), cls, n, near (the nearest pivots), v: one row per inverted list that a vector is in."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
@@ -67,7 +78,7 @@ def index(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> Da
                 batch, own = whole.take(pa.array(np.flatnonzero(lengths == length))), shared.value[int(length)]
                 v = batch.column(2).flatten().to_numpy().reshape(-1, length)
                 v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                take = min(nearest, len(own))
+                take = min(nearest or nearest_for(len(own)), len(own))
                 order = np.argsort(-(v @ own.T), axis=1, kind="stable")[:, :take].astype(np.int64)
                 near = np.sort(order, axis=1)
                 pairs = list(itertools.combinations(range(take), 2)) or [(0, 0)]
@@ -136,10 +147,10 @@ def _compare(rows: list[dict], least: float):
                 yield int(ids[x]), int(c), int(ids[parent[x]])
 
 
-def links(classes: DataFrame, lengths: dict[int, int], scratch: Scratch, least: float, pivots: int | None, nearest: int, block: int) -> DataFrame:
+def links(classes: DataFrame, lengths: dict[int, int], scratch: Scratch, least: float, pivots: int | None, nearest: int | None, block: int) -> DataFrame:
     """cls, links, to: sums of links and spanning edges of classes of equal vectors. ``lengths``: vectors by length."""
     many = {d: pivots or pivots_for(n) for d, n in lengths.items()}
-    chosen = {d: choose_pivots(classes.where(F.size("v") == d), k, SAMPLE_PER_PIVOT * max(k, PIVOTS)) for d, k in many.items()}
+    chosen = {d: choose_pivots(classes.where(F.size("v") == d), k, max(PIVOTS, min(SAMPLE_PER_PIVOT * max(k, PIVOTS), SAMPLE_BYTES // (8 * d)))) for d, k in many.items()}
     rows = scratch.table(index(classes, chosen, nearest), "index")
 
     def compare(batches):
@@ -165,8 +176,8 @@ def links(classes: DataFrame, lengths: dict[int, int], scratch: Scratch, least:
     return scratch.table(together.mapInArrow(compare, "cls long, links long, to long"), "links")
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST_COSINE, pivots: int | None = None, nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of docs; the number of pivots follows from the rows if none is given."""
+def near_duplicates(docs: DataFrame, least: float = LEAST_COSINE, pivots: int | None = None, nearest: int | None = None, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of docs; the number of pivots follows from the rows, that of the nearest from the pivots, if none is given."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "embeddings")
     vectors = usable(docs)

@@ -79,3 +79,27 @@ def test_recall_at_production_parameters(spark):
     links = sum(n for n, _ in want.values())
     assert links >= 4000 and 0.97 * links <= sum(got.values()) <= links
     assert embeddings.pivots_for(10**5) == 256 and embeddings.pivots_for(10**7) == 1415
+
+
+@pytest.mark.parametrize("d", [16, 64])
+@pytest.mark.parametrize("pivots", [1024, 4096])
+def test_near_pairs_share_lists_at_many_pivots(spark, d, pivots):
+    """Planted pairs at a cosine of 0.951 among as many pivots as large tables have: at least 95 % meet in a list."""
+    rng = np.random.default_rng(d + pivots)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a, r = unit(rng.standard_normal((1500, d))), rng.standard_normal((1500, d))
+    r = unit(r - (r * a).sum(1, keepdims=True) * a)
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * r
+    rest = unit(rng.standard_normal((pivots + 200, d)))
+    rows = [(i, 1, x.tolist()) for i, x in enumerate(np.concatenate([a, b, rest]))]
+    df = spark.createDataFrame(rows, "cls long, n long, v array<double>")
+    chosen = embeddings.choose_pivots(df, pivots, pivots + 1000)
+    lists = embeddings.index(df.where("cls < 3000"), {d: chosen}, None).select("list", (embeddings.F.col("cls") % 1500).alias("pair"), "cls")
+    met = lists.groupBy("list", "pair").agg(embeddings.F.countDistinct("cls").alias("n")).where("n = 2").select("pair").distinct().count()
+    assert len(chosen) == pivots and met >= 0.95 * 1500
+
+
+def test_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 5, "a", [1]), (2, [1.0, 0.01], 6, "b", [2])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int, cls string, v array<int>"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [(1, 1, 1), (2, 1, 1)]

@@ -48,7 +48,7 @@ MARKS = frozenset(
 
 COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
 #: Words of names that only say what sort of box something is, or where.
-BOXES = frozenset("box boxes body wrap wrapper container area list lists item items inner outer block blocks section slot unit bar panel left right top bottom middle center main wide narrow buttons button links link text posts row col column desktop mobile v".split())
+BOXES = frozenset("box boxes body wrap wrapper container area list lists item items inner outer block blocks section slot unit bar panel left right top bottom middle center main wide narrow buttons button links link text posts row col column desktop mobile v article articles story stories news message messages thread threads title heading form content contents group grid card cards feed entry entries primary secondary tools icons strip image images".split())
 #: Elements that may be side matter by name; others hold text themselves.
 NAMED = frozenset("div section table tbody tr td ul ol dl header article details figure center".split())
 #: A sibling of the chosen container belongs to it with this many characters of sentences that are not links, at least four times as many as of links.

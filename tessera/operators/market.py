@@ -120,7 +120,11 @@ def contained(tasks: DataFrame, key: str, name: str, parts: DataFrame, part: str
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """task: every task that reaches itself along ``pred``. Ends of chains are peeled off first; what is left is closed in doubling steps."""
+    """task: every task that reaches itself along ``pred``.
+
+    Ends of chains are peeled off. Of what is left, each task takes the smallest name that reaches it as its color; from each color's own task
+    the cycle through it is walked back within the color, and goes. Both send one row an edge and round; pairs of tasks are never made.
+    """
     spark, folder, n = edges.sparkSession, work_folder(edges.sparkSession, "cycles"), 0
 
     def kept(df: DataFrame) -> DataFrame:
@@ -129,19 +133,40 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         df.write.parquet(f"{folder}/{n}")
         return spark.read.parquet(f"{folder}/{n}")
 
+    def peeled(now: DataFrame) -> DataFrame:
+        """Edges between tasks that have a predecessor and are one: others are on no cycle."""
+        size = now.count()
+        while size:
+            now = kept(now.join(now.select(F.col("task").alias("pred")).distinct(), "pred", "left_semi").join(now.select(F.col("pred").alias("task")).distinct(), "task", "left_semi").select("task", "pred"))
+            left = now.count()
+            if left == size:
+                break
+            size = left
+        return now
+
     now = kept(edges.where("task is not null and pred is not null").distinct())
-    size = now.count()
-    while True:  # a task without predecessors that have some, or that nobody needs, is on no cycle
-        now = kept(now.join(now.select(F.col("task").alias("pred")).distinct(), "pred", "left_semi").join(now.select(F.col("pred").alias("task")).distinct(), "task", "left_semi").select("task", "pred"))
-        left = now.count()
-        if left == size:
-            break
-        size = left
-    while size:
-        longer = now.alias("a").join(now.alias("b"), F.col("a.pred") == F.col("b.task")).select(F.col("a.task").alias("task"), F.col("b.pred").alias("pred"))
-        now = kept(now.unionByName(longer).distinct())
-        left = now.count()
-        if left == size:
-            break
-        size = left
-    return now.where("task = pred").select("task").distinct()
+    found = kept(now.where("task = pred").select("task").distinct())
+    now = peeled(kept(now.where("task <> pred")))
+    while now.head(1):
+        color = kept(now.select("task").distinct().withColumn("color", F.col("task")))
+        while True:  # the smallest name among a task and all that come before it
+            passed = now.join(color.withColumnRenamed("task", "pred"), "pred").select("task", "color")
+            after = kept(color.unionByName(passed).groupBy("task").agg(F.min("color").alias("color")))
+            if not after.exceptAll(color).head(1):
+                break
+            color = after
+        at = color.select(F.col("task").alias("pred"), F.col("color").alias("color_p"))
+        within = kept(now.join(color, "task").join(at, "pred").where("color = color_p").select("task", "pred"))
+        round_trip = kept(color.where("task = color").select("task"))
+        size = round_trip.count()
+        while True:  # what leads back to the color's own task
+            round_trip = kept(round_trip.unionByName(within.join(round_trip, "task", "left_semi").select(F.col("pred").alias("task"))).distinct())
+            left = round_trip.count()
+            if left == size:
+                break
+            size = left
+        # a color's own task is on a cycle if another of its color leads back to it
+        alone = within.join(round_trip, "task", "left_semi").join(round_trip.select(F.col("task").alias("pred")), "pred", "left_semi").select("task").distinct()
+        found = kept(found.unionByName(alone).distinct())
+        now = peeled(kept(now.join(round_trip, "task", "left_anti").join(round_trip.select(F.col("task").alias("pred")), "pred", "left_anti").select("task", "pred")))
+    return found

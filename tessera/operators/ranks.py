@@ -26,6 +26,31 @@ def positions(df: DataFrame, group: str, *order: str) -> DataFrame:
     return out.select(*df.columns, (F.col("__own") + F.col("__before")).alias("place"), "size")
 
 
+def competition_rank(df: DataFrame, value: str, unique: str, name: str) -> DataFrame:
+    """df with the rank of ``value`` over all rows, from 1 for the smallest; equal values share the smallest place. No task sorts more than its range."""
+    at = positions(df.withColumn("__all", F.lit(0)), "__all", value, unique)
+    first = at.groupBy(F.col(value).alias("__v")).agg((F.min("place") + 1).alias(name))
+    return at.join(first, F.col(value).eqNullSafe(F.col("__v"))).select(*df.columns, name)
+
+
+def fill_down(df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
+    """df with the nulls of ``columns`` replaced by the last value above them in their group.
+
+    Each range of rows is filled by itself and then from the last values of the ranges before it, so a group may hold any share of the rows.
+    """
+    spark, path = df.sparkSession, work_folder(df.sparkSession, "fills")
+    df.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__{c}") for c in columns]
+    ends = dealt.groupBy(group, "__part").agg(*last)  # as many rows as partitions and groups
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), *[F.last(f"__{c}", ignorenulls=True).over(before).alias(f"__{c}") for c in columns])
+    above = Window.partitionBy(group, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({c: F.last(c, ignorenulls=True).over(above) for c in columns})
+    out = own.join(ends, F.col("__g").eqNullSafe(F.col(group)) & (F.col("__p") == F.col("__part")))
+    return out.select(*[F.coalesce(c, f"__{c}").alias(c) if c in columns else c for c in df.columns])
+
+
 def average_rank(df: DataFrame, group: str, value: str, unique: str, name: str) -> DataFrame:
     """``unique`` and the rank of ``value`` in its group (from 1, equal values sharing their mean rank)."""
     at = positions(df.select(group, value, unique), group, value, unique)

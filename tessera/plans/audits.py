@@ -158,10 +158,10 @@ _CELLS = "CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS a, CASE WHEN p
 def table_fills(t: Tables) -> DataFrame:
     """WN-49: empty cells take the value above them (merged rows), or the one to their left (merged columns); what has neither is empty."""
     x = t.part.selectExpr("p_size AS tab", "p_partkey AS line", *_CELLS.split(", ")).select("tab", "line", *[F.nullif(F.col(k), F.lit("")).alias(k) for k in "abc"])
-    above = Window.partitionBy("tab").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     empty = F.lit("")
-    down = F.array(*[F.coalesce(F.last(k, ignorenulls=True).over(above), empty) for k in "abc"])
-    return x.select("tab", "line", down.alias("down"), F.array(F.coalesce("a", empty), F.coalesce("b", "a", empty), F.coalesce("c", "b", "a", empty)).alias("across"))
+    x = x.withColumn("across", F.array(F.coalesce("a", empty), F.coalesce("b", "a", empty), F.coalesce("c", "b", "a", empty)))
+    filled = ranks.fill_down(x, "tab", "line", ["a", "b", "c"])
+    return filled.select("tab", "line", F.array(*[F.coalesce(k, empty) for k in "abc"]).alias("down"), "across")
 
 
 # The ladder of steps and the number of intervals of an axis.

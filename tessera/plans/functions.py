@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric, text
+from tessera.operators import ranks
 from tessera.plans.registry import Tables, query
 
 
@@ -157,7 +158,7 @@ def hash_ids(t: Tables) -> DataFrame:
 def index_numbers(t: Tables) -> DataFrame:
     """TX-59: numbers per type in order of first sight."""
     g = t.events.groupBy("event_type", "user_id").agg(F.min("event_id").alias("seen"))
-    return g.select("event_type", "user_id", F.row_number().over(Window.partitionBy("event_type").orderBy("seen")).alias("number"))
+    return ranks.positions(g, "event_type", "seen", "user_id").select("event_type", "user_id", (F.col("place") + 1).cast("int").alias("number"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) - 1911 AS INT) AS roc, CAST(CASE isodow(o_orderdate) WHEN 5 THEN CAST(o_orderdate AS DATE) + 3 WHEN 6 THEN CAST(o_orderdate AS DATE) + 2 ELSE CAST(o_orderdate AS DATE) + 1 END AS DATE) AS usable FROM orders")

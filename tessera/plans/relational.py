@@ -283,7 +283,8 @@ def exact_text_copies(t: Tables) -> DataFrame:
 def peer_ranking(t: Tables) -> DataFrame:
     """AG-38: a rank over suppliers, a dimension, after the facts are grouped."""
     g = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.avg("l_discount").alias("m")).join(t.supplier, "s_suppkey", "left_semi")
-    return g.select("s_suppkey", F.round("m", 6).alias("m"), F.rank().over(Window.orderBy(F.desc(F.round("m", 9)))).cast("long").alias("place"))
+    ranked = ranks.competition_rank(g.withColumn("less", -F.round("m", 9)), "less", "s_suppkey", "nth")
+    return ranked.select("s_suppkey", F.round("m", 6).alias("m"), F.col("nth").cast("long").alias("place"))
 
 
 @query("""WITH w AS (SELECT DISTINCT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS word FROM part), n AS (SELECT p_brand, word, count(*) AS c FROM w GROUP BY 1, 2), s AS (SELECT word, count(*) AS total FROM w GROUP BY 1)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def explode(edges: DataFrame, tops: DataFrame, most_levels: int = 1000) -> DataFrame:
     """top, item, level, qty (accumulated), cycle: every path below the tops, one row each; a cycle is reported and left.
 
-    Levels are added until there is no new one; a bill of more than ``most_levels`` is an error, never cut.
+    Levels are added until there is no new one; a bill of more than ``most_levels`` is an error, never cut. As the plan runs later, the session's
+    ``spark.sql.cteRecursionRowLimit`` stays lifted. Shared assemblies give a row for each path to them, so rows grow with the paths.
     """
     spark = edges.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # rows are not bounded, by default they are by a million

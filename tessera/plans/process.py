@@ -134,38 +134,40 @@ def edges(t: Tables) -> DataFrame:
 
 
 def _tops(t: Tables) -> DataFrame:
-    return t.part.where("p_partkey between 1 and 3").select(F.col("p_partkey").alias("top"))
+    """Every assembly, not only those that nothing contains."""
+    return edges(t).select(F.col("parent").alias("top")).distinct()
 
 
-_TREE = f"""WITH RECURSIVE {EDGES}, tree AS (SELECT p_partkey AS top, p_partkey AS item, 0 AS level, CAST(1 AS DOUBLE) AS qty FROM part WHERE p_partkey BETWEEN 1 AND 3
+_TREE = f"""WITH RECURSIVE {EDGES}, tree AS (SELECT DISTINCT parent AS top, parent AS item, 0 AS level, CAST(1 AS DOUBLE) AS qty FROM edges
     UNION ALL SELECT t.top, e.child, t.level + 1, t.qty * e.qty FROM tree t JOIN edges e ON e.parent = t.item)"""
 
 
 @query(f"{_TREE} SELECT top, item, level, qty, false AS cycle FROM tree WHERE level > 0")
 def bom_explosion(t: Tables) -> DataFrame:
-    """REC-01"""
+    """REC-01 of every assembly"""
     return bom.explode(edges(t), _tops(t))
 
 
 @query(f"{_TREE} SELECT top, round(sum(qty * p_retailprice), 2) AS cost FROM tree JOIN part ON p_partkey = item WHERE level > 0 AND item NOT IN (SELECT parent FROM edges) GROUP BY 1")
 def bom_cost(t: Tables) -> DataFrame:
-    """REC-02"""
+    """REC-02 of every assembly: the subtotals of all sub-assemblies"""
     costs = t.part.select(F.col("p_partkey").alias("item"), F.col("p_retailprice").alias("cost"))
     return bom.roll_up_cost(bom.explode(edges(t), _tops(t)), costs, edges(t)).withColumn("cost", F.round("cost", 2))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, up AS (SELECT p_partkey AS item, p_partkey AS used_in, 0 AS level FROM part WHERE p_partkey % 50 = 7 UNION ALL SELECT u.item, e.parent, u.level + 1 FROM up u JOIN edges e ON e.child = u.used_in)
+@query(f"""WITH RECURSIVE {EDGES}, up AS (SELECT p_partkey AS item, p_partkey AS used_in, 0 AS level FROM part WHERE p_partkey NOT IN (SELECT parent FROM edges) UNION ALL SELECT u.item, e.parent, u.level + 1 FROM up u JOIN edges e ON e.child = u.used_in)
     SELECT item, used_in, min(level) AS level FROM up WHERE level > 0 GROUP BY 1, 2""")
 def bom_where_used(t: Tables) -> DataFrame:
-    """REC-03"""
-    return bom.where_used(edges(t), t.part.where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("item")))
+    """REC-03 of every bought part: what has no parts of its own"""
+    bought = t.part.select(F.col("p_partkey").alias("item")).join(edges(t).select(F.col("parent").alias("item")), "item", "left_anti")
+    return bom.where_used(edges(t), bought)
 
 
-@query(f"""{_TREE} SELECT top, count(*) FILTER (p_type <> 'PROMO') AS compliant, count(*) FILTER (p_type = 'PROMO') AS not_compliant, max(p_size + level) AS lead_time, arg_max(item, (p_size + level) * 1000000 - item) AS critical FROM tree JOIN part ON p_partkey = item WHERE level > 0 GROUP BY 1""")
+@query(f"""{_TREE}, x AS (SELECT top, item, p_type, p_size + level AS lead FROM tree JOIN part ON p_partkey = item WHERE level > 0), best AS (SELECT top, max(lead) AS lead_time FROM x GROUP BY 1)
+    SELECT top, count(*) FILTER (p_type <> 'PROMO') AS compliant, count(*) FILTER (p_type = 'PROMO') AS not_compliant, max(lead) AS lead_time, min(item) FILTER (lead = lead_time) AS critical FROM x JOIN best USING (top) GROUP BY 1""")
 def bom_compliance(t: Tables) -> DataFrame:
-    """REC-04: compliance counts and the item with the longest lead time."""
-    x = bom.explode(edges(t), _tops(t)).join(t.part.select(F.col("p_partkey").alias("item"), "p_type", "p_size"), "item").withColumn("lead", F.col("p_size") + F.col("level"))
-    return x.groupBy("top").agg(F.count_if(F.col("p_type") != "PROMO").alias("compliant"), F.count_if(F.col("p_type") == "PROMO").alias("not_compliant"), F.max("lead").alias("lead_time"), F.max_by("item", F.col("lead") * 1000000 - F.col("item")).alias("critical"))
+    """REC-04 of every assembly: compliance counts and the item with the longest lead time."""
+    return _compliance(t, _tops(t))
 
 
 _WHOLE_TREE = f"""WITH RECURSIVE {EDGES}, tree AS (SELECT DISTINCT parent AS top, parent AS item, 0 AS level, CAST(1 AS DOUBLE) AS qty FROM edges WHERE parent NOT IN (SELECT child FROM edges)

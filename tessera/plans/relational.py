@@ -101,11 +101,11 @@ def correlated_count(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("open_orders"))
 
 
-@query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON starts_with(CAST(p_partkey AS VARCHAR), CAST(s_suppkey AS VARCHAR)) AND s_suppkey BETWEEN 10 AND 99")
+@query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON starts_with(lpad(CAST(p_partkey AS VARCHAR), 9, '0'), lpad(CAST(s_suppkey AS VARCHAR), 7, '0'))")
 def prefix_join(t: Tables) -> DataFrame:
-    """JN-12: a prefix of fixed length joins by equality."""
-    s = t.supplier.where("s_suppkey between 10 and 99").select("s_suppkey", F.col("s_suppkey").cast("string").alias("prefix"))
-    return t.part.select("p_partkey", F.substring(F.col("p_partkey").cast("string"), 1, 2).alias("prefix")).join(s, "prefix").select("p_partkey", "s_suppkey")
+    """JN-12: prefixes of one length, of numbers written with leading zeros, join by equality."""
+    s = t.supplier.select("s_suppkey", F.lpad(F.col("s_suppkey").cast("string"), 7, "0").alias("prefix"))
+    return t.part.select("p_partkey", F.substring(F.lpad(F.col("p_partkey").cast("string"), 9, "0"), 1, 7).alias("prefix")).join(s, "prefix").select("p_partkey", "s_suppkey")
 
 
 def _prefix_pairs(t: Tables) -> DataFrame:

@@ -13,46 +13,56 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from all documents; nulls are empty texts, rows that repeat are each other's copies; see ``suffix_dedup``."""
     return suffix_dedup.removal_report(_read(spark, sf_dir, "documents"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates of all documents; texts without words stand alone, ties go to the smallest id; see ``minhash``."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents from labels that are not held out; empty texts are scored too; see ``toxicity``."""
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, _read(spark, sf_dir, "labels")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; nulls are a closing id alone; see ``packing``."""
     import public_tokenizers
 
     return packing.piece_digests(packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; ``und`` without a letter; see ``langid`` for ties."""
     docs = _read(spark, sf_dir, "documents")
     return langid.predict_language(docs, langid.train_languages(docs))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents; nulls have no words; see ``decontam``."""
     return decontam.match_benchmark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back; nulls are empty payloads; see ``warc``."""
     return warc.round_trip(_read(spark, sf_dir, "pages")).drop("url")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages; nulls give empty texts, ties of paths go to the smallest hash; see ``html``."""
     return html.extract_text(_read(spark, sf_dir, "pages"))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; null, zero and non-finite ones link with nothing; see ``embeddings``."""
     return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grades of all documents; see ``quality`` for nulls and repeated labels."""
     docs = _read(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train_quality(docs, _read(spark, sf_dir, "labels")))
 

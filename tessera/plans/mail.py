@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import mail, text
 from tessera.plans.registry import Tables, query
+from tessera.sources import mailbox
 
 _C, _W = mail.CJK, mail.WIDE_MARK
 
@@ -155,3 +156,43 @@ def fuzzy_buckets(t: Tables) -> DataFrame:
     ranked = F.array_sort(F.array(*[F.struct((-s).alias("s"), F.lit(k).alias("k")) for k, s in score.items()]))
     clear = (ranked[0]["s"] < 0) & (ranked[0]["s"] <= 1.3 * ranked[1]["s"])
     return t.part.select("p_partkey", F.when(clear, ranked[0]["k"]).alias("bucket"))
+
+
+@query("""
+    SELECT conv_id, turn, role || '@example.org' AS sender, TIMESTAMP '2026-01-01 00:00:00' + INTERVAL 1 MINUTE * (conv_id * 10 + turn) AS sent, trim(regexp_extract(text, '^[^.!?\n]*')) AS subject, text AS body,
+           CASE turn % 4 WHEN 1 THEN CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'decoded-as:utf-8' ELSE '' END WHEN 2 THEN 'decoded-as:utf-8' ELSE '' END AS note FROM conversations""")
+def mail_files(t: Tables) -> DataFrame:
+    """SRC-13 and TX-21: every turn written as a mail file, with four notations of dates and right, wrong, unknown and missing character sets, and read back."""
+    k = F.pmod("turn", F.lit(4))
+    at = F.timestamp_add("MINUTE", F.col("conv_id") * 10 + F.col("turn"), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    date = F.element_at(F.array(F.concat(F.date_format(at, "E, "), F.date_format(at, mailbox.DATES[0])), F.date_format(at, mailbox.DATES[1]), F.date_format(at, mailbox.DATES[2]), F.date_format(at, mailbox.DATES[3])), (k + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ["text/plain; charset=utf-8", "text/plain; charset=us-ascii", "text/plain; charset=no-such-set", 'text/plain; charset="UTF-8"'])), (k + 1).cast("int"))
+    subject = F.trim(F.regexp_extract("text", r"^[^.!?\n]*", 0))
+    lines = ["From: Someone <", F.col("role"), "@example.org>\nDate: ", date, "\nSubject: =?UTF-8?B?", F.base64(subject.cast("binary")), "?=\nMIME-Version: 1.0\nContent-Transfer-Encoding: 8bit\nContent-Type: ", kind, "\n\n", F.col("text")]
+    files = t.conversations.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in lines]).cast("binary").alias("content"))
+    read = mailbox.mail_rows(files)
+    number = lambda i: F.split("path", "/")[i].cast("long")
+    return read.select(number(0).alias("conv_id"), number(1).alias("turn"), "sender", "sent", "subject", "body", "note")
+
+
+# Words that mark a point of importance.
+IMPORTANT = ["需", "請", "務必", "截止", "deadline", "決定", "問題", "風險", "延遲", "異常", "變更", "確認", "核准", "客戶", "交期"]
+
+
+@query(f"""
+    WITH marked AS (SELECT conv_id, turn, text, regexp_matches(text, '{"|".join(IMPORTANT)}|[0-9]{{4}}[-/][0-9]') OR turn % 3 = 0 AS point FROM conversations),
+    point AS (SELECT conv_id, list(left(text, 80) ORDER BY turn)[1:6] AS points FROM marked WHERE point GROUP BY conv_id),
+    word AS (SELECT conv_id, w, count(*) AS n, min(turn * 1000000 + i) AS first FROM (
+        SELECT conv_id, turn, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]{{3,}}|[一-鿿]{{2,4}}') AS ws FROM conversations)) GROUP BY conv_id, w),
+    term AS (SELECT conv_id, list(w ORDER BY n DESC, first)[1:8] AS terms FROM word GROUP BY conv_id)
+    SELECT conv_id, coalesce(terms, []) AS terms, coalesce(points, []) AS points FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN term USING (conv_id) LEFT JOIN point USING (conv_id)""")
+def conversation_summaries(t: Tables) -> DataFrame:
+    """TX-51: the eight most frequent words of each conversation, of equals those met first, and the first six turns of weight (here also every third, as no text names any)."""
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}|[一-鿿]{2,4}"), F.lit(0))
+    words = t.conversations.select("conv_id", "turn", F.posexplode(found).alias("i", "w")).groupBy("conv_id", "w").agg(F.count("*").alias("n"), F.min(F.struct("turn", "i")).alias("first"))
+    top = words.groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "w"))), 1, 8).alias("top"))
+    weight = F.col("text").rlike("|".join(IMPORTANT) + "|[0-9]{4}[-/][0-9]") | (F.col("turn") % 3 == 0)
+    points = t.conversations.where(weight).groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(80)).alias("text")))), 1, 6).alias("points"))
+    every = t.conversations.select("conv_id").distinct().join(top, "conv_id", "left").join(points, "conv_id", "left")
+    none = F.array().cast("array<string>")
+    return every.select("conv_id", F.coalesce(F.transform("top", lambda x: x["w"]), none).alias("terms"), F.coalesce(F.transform("points", lambda x: x["text"]), none).alias("points"))

@@ -176,3 +176,16 @@ def test_left_out_scores_equal_reruns(spark):
     assert set(got) == set(want) and len(want) > 15
     for k, v in want.items():
         assert got[k] == pytest.approx(v), k
+
+
+def test_mail_files(spark):
+    from tessera.sources import mailbox
+
+    plain = "From: A B <a@b.c>\r\nDate: Fri, 1 May 2026 13:05:00 +0000\r\nSubject: =?big5?B?pOim7g==?=\r\nContent-Type: text/plain; charset=big5\r\n\r\n".encode()
+    multi = b"Message-ID: <1@x>\nContent-Type: multipart/mixed; boundary=zz\n\n--zz\nContent-Type: text/html\n\n<p>x</p>\n--zz\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\nw6k=\n--zz--\n"
+    files = [("a", plain + "交期確認".encode("big5")), ("b", multi), ("c", b""), ("d", None), ("e", b"\n\n" + b"\xff\xfe bad"), ("f", "Content-Type: text/plain; charset=utf-8\n\n".encode() + "客戶問題".encode().decode("latin-1").encode())]
+    got = {r["path"]: r for r in mailbox.mail_rows(spark.createDataFrame(files, "path string, content binary")).collect()}
+    a = got["a"]
+    assert (a["sender"], a["body"], a["note"], str(a["sent"])) == ("a@b.c", "交期確認", "", "2026-05-01 13:05:00") and a["subject"] == bytes([0xA4, 0xE8, 0xA6, 0xEE]).decode("big5")
+    assert (got["b"]["message_id"], got["b"]["body"]) == ("<1@x>", "é") and got["c"]["body"] == got["d"]["body"] == "" and got["c"]["sent"] is None
+    assert got["e"]["note"].startswith("decoded-as:") and (got["f"]["body"], got["f"]["note"]) == ("客戶問題", "mojibake-fixed:latin-1->utf8")

@@ -168,7 +168,7 @@ def mail_files(t: Tables) -> DataFrame:
     date = F.element_at(F.array(F.concat(F.date_format(at, "E, "), F.date_format(at, mailbox.DATES[0])), F.date_format(at, mailbox.DATES[1]), F.date_format(at, mailbox.DATES[2]), F.date_format(at, mailbox.DATES[3])), (k + 1).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, ["text/plain; charset=utf-8", "text/plain; charset=us-ascii", "text/plain; charset=no-such-set", 'text/plain; charset="UTF-8"'])), (k + 1).cast("int"))
     subject = F.trim(F.regexp_extract("text", r"^[^.!?\n]*", 0))
-    lines = ["From: Someone <", F.col("role"), "@example.org>\nDate: ", date, "\nSubject: =?UTF-8?B?", F.base64(subject.cast("binary")), "?=\nMIME-Version: 1.0\nContent-Transfer-Encoding: 8bit\nContent-Type: ", kind, "\n\n", F.col("text")]
+    lines = ["From: Someone <", F.col("role"), "@example.org>\nDate: ", date, "\nSubject: =?UTF-8?B?", F.regexp_replace(F.base64(subject.cast("binary")), "\\s", ""), "?=\nMIME-Version: 1.0\nContent-Transfer-Encoding: 8bit\nContent-Type: ", kind, "\n\n", F.col("text")]
     files = t.conversations.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in lines]).cast("binary").alias("content"))
     read = mailbox.mail_rows(files)
     number = lambda i: F.split("path", "/")[i].cast("long")

@@ -9,8 +9,22 @@ from pyspark.sql import functions as F
 
 # Labels and the fields they mean, in the order in which they are tried.
 CANONICAL = {
-    "Revenue": "revenue", "Net Sales": "revenue", "營業收入": "revenue", "Gross Profit": "gross_profit", "Operating Income": "operating_income",
-    "Net Income": "net_income", "EPS": "eps", "Total Equity": "total_equity", "Capital": "capital",
+    "營業收入淨額": "revenue", "營業收入": "revenue", "收入": "revenue", "Revenue": "revenue", "Net Revenue": "revenue", "Net Sales": "revenue", "营收": "revenue", "Sales": "revenue", "Total Revenue": "revenue",
+    "營業成本": "cogs", "Cost of Revenue": "cogs", "COGS": "cogs", "Cost of Sales": "cogs", "销售成本": "cogs", "营业成本": "cogs",
+    "營業毛利淨額": "gross_profit", "毛利": "gross_profit", "Gross Profit": "gross_profit", "营业毛利淨額": "gross_profit",
+    "營業費用": "opex", "Operating Expense": "opex", "OpEx": "opex", "SG&A": "opex", "营业費用": "opex",
+    "營業淨利/損": "operating_income", "營業利益": "operating_income", "Operating Income": "operating_income", "EBIT": "operating_income", "营业淨利/損": "operating_income",
+    "稅前淨利": "pretax_income", "Pretax Income": "pretax_income", "Pre-tax Income": "pretax_income", "税前淨利": "pretax_income",
+    "稅後淨利": "net_income", "Net Income": "net_income", "Net Profit": "net_income", "税後淨利": "net_income", "歸屬母公司淨利": "net_income_parent", "Attributable Net": "net_income_parent",
+    "每股盈餘(元)": "eps", "每股盈餘": "eps", "EPS": "eps", "EPS (NT$)": "eps", "Basic EPS": "basic_eps", "Diluted EPS": "diluted_eps", "每股净利": "eps",
+    "毛利率": "gross_margin", "Gross Margin": "gross_margin", "營業利益率": "operating_margin", "Operating Margin": "operating_margin", "淨利率": "net_margin", "Net Margin": "net_margin",
+    "營收成長率": "revenue_growth", "Revenue Growth": "revenue_growth", "YoY": "yoy_growth", "QoQ": "qoq_growth",
+    "每股淨值": "bvps", "BVPS": "bvps", "Book Value Per Share": "bvps", "每股現金股利": "dps", "DPS": "dps", "Dividend Per Share": "dps",
+    "本益比(P/E)": "pe_ratio", "P/E": "pe_ratio", "本益比": "pe_ratio", "股價淨值比": "pb_ratio", "P/B": "pb_ratio", "PBR": "pb_ratio", "殖利率": "dividend_yield", "Dividend Yield": "dividend_yield",
+    "總資產": "total_assets", "Total Assets": "total_assets", "總負債": "total_liabilities", "Total Liabilities": "total_liabilities", "股東權益": "total_equity", "Total Equity": "total_equity",
+    "流動資產": "current_assets", "Current Assets": "current_assets", "現金及約當現金": "cash", "Cash": "cash",
+    "來自營業活動現金": "operating_cf", "Operating CF": "operating_cf", "投資活動現金": "investing_cf", "Investing CF": "investing_cf", "自由現金流量": "free_cf", "Free Cash Flow": "free_cf", "FCF": "free_cf", "資本支出": "capex", "CapEx": "capex",
+    "股東權益報酬率": "roe", "ROE": "roe", "資產報酬率": "roa", "ROA": "roa",
 }
 # Fields and their other names.
 SYNONYMS = {

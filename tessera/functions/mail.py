@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 # Classes of characters.
 CJK, WIDE_MARK = "一-鿿㐀-䶿", "　-〿＀-／：-］"
 # Words that ask for something.
-TRIGGERS = ["請", "麻煩", "需要", "務必", "盡快", "追蹤", "確認", "回覆", "提供", "todo", "action", "follow up", "follow-up", "need to", "please", "pending", "asap"]
+TRIGGERS = [
+    "請", "麻煩", "需要", "需", "務必", "盡快", "待", "追蹤", "確認", "回覆", "提供", "排", "todo", "to-do", "action", "follow up", "follow-up", "need to", "please", "by ", "pending", "asap",
+]
 # Notations of a deadline inside a text.
-DUE = r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}|下週|下周|本週|月底|next week|this week|by \w+)"
+DUE = r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}(?!\d)|下週|下周|本週|本周|這週|月底|月初|週[一二三四五]|next week|this week|by \w+)"
 
 
 def script_runs(text: Column) -> Column:

@@ -122,7 +122,7 @@ def growth_reasonableness(t: Tables) -> DataFrame:
     return fin.growth_reasonableness(x, "company", "yr")
 
 
-_LABELS = ["Revenue", "net sales", "Gross Profit (NT$)", "營業收入", "Net income after tax", "Operating-Income", "Capital Spending", "eps", "total  equity", "Random Thing With A Very Long Name Beyond Forty Characters"]
+_LABELS = ["Revenue", "net sales", "Gross Profit (NT$)", "營業收入", "Net income after tax", "Operating-Income", "Capital Spending", "eps", "total  equity", "Random Thing With A Very Long Name Beyond Forty Characters", *fin.CANONICAL, *(f" {k.lower()} %" for k in fin.CANONICAL)]
 _NORM = "regexp_replace(label, '[\\s/()（）%,，]', '', 'g')"
 _PAIRS = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(fin.CANONICAL.items()))
 

@@ -102,12 +102,14 @@ def deadlines(t: Tables) -> DataFrame:
     return t.events.select("event_id", raw.alias("raw"), mail.deadline(raw, F.to_date("ts")).alias("due"))
 
 
-_BODIES = ["Please send the file by Friday. Thanks.", "請於 6/30 前回覆。其他不變。", "Nothing to do here", "We need to follow up next week; all else is fine; todo: plan 2026-07-01", "附件請確認；下週再談"]
+_BODIES = ["Please send the file by Friday. Thanks.", "請於 6/30 前回覆。其他不變。", "Nothing to do here", "We need to follow up next week; all else is fine; todo: plan 2026-07-01", "附件請確認；下週再談", "麻煩本周提供; 需要在這週排程", "務必月底前; 待月初追蹤", "盡快於週三回覆", "To-do: 1/234 is no day", "Action by Monday; pending this week; ASAP 下周", "follow-up 3.4 and 本週", "無事"]
 _ASK = "(?i)" + "|".join(x.replace("-", "\\-") for x in mail.TRIGGERS)
+# the same without looking ahead: a day and a month end before something that is no digit
+_WHEN = "(?i)(\\d{4}[-/.]\\d{1,2}[-/.]\\d{1,2})|(\\d{1,2}[-/.]\\d{1,2})(?:[^0-9]|$)|(下週|下周|本週|本周|這週|月底|月初|週[一二三四五]|next week|this week|by \\w+)"
 
 
 @query(f"""WITH x AS (SELECT p_partkey, unnest(regexp_split_to_array({_sql_pick(_BODIES, "p_partkey")}, '[。.\n；;]')) AS s FROM part)
-    SELECT p_partkey, left(trim(s), 120) AS action, regexp_extract(s, '(?i){mail.DUE}', 1) AS due FROM x WHERE regexp_matches(s, '{_ASK}')""")
+    SELECT p_partkey, left(trim(s), 120) AS action, concat({", ".join(f"coalesce(regexp_extract(s, '{_WHEN}', {i}), '')" for i in (1, 2, 3))}) AS due FROM x WHERE regexp_matches(s, '{_ASK}')""")
 def action_items(t: Tables) -> DataFrame:
     """TX-26: sentences that ask for something, and by when."""
     found = t.part.select("p_partkey", F.explode(mail.actions(_pick(_BODIES, "p_partkey"))).alias("a"))

@@ -25,7 +25,7 @@ from tessera.llm.scratch import Scratch
 LENGTH, CLOSING = 2048, 1
 DIMS, DIM_BITS, BUCKETS = 4, 12, 1024
 #: Distinct words whose ids a generation keeps, two of which a Python worker holds while a task runs.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 #: Bytes of token ids of a partition along the curve: a 2000th of them all between these bounds.
 LEAST_PARTITION, MOST_PARTITION = 16_000_000, 512_000_000
 
@@ -68,12 +68,16 @@ class WordIds:
         self.model = self.tokenizer.model
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: "".join(x for x, _ in as_bytes.pre_tokenize_str(chr(c))) for c in [*range(97, 123), *range(0xDF, 0x100)]}
-        self.kept, self.plain = _Kept(self._word, {}), _PLAIN.fullmatch
-        trial = ["Hello,", "naïve", "ÉCOLE!?", "straße.", "a", "Łódź", "übermäßig;", "x$$$", "y|_<"]
+        self.encode, self.plain = self._word, _PLAIN.fullmatch
+        self.kept = _Kept(self.encode, {})
+        trial = ["Hello,", "plain", "naïve", "ÉCOLE!?", "straße.", "a", "Łódź", "übermäßig;", "x$$$", "y|_<"]
         if not all(self._word(w) == self._encode(w) for w in trial):
-            self.kept, self.plain = _Kept(self._word, {}), lambda w: None
+            self.encode = self._encode
+            self.kept = _Kept(self.encode, {})
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         m = self.plain(word)
         return self._short(m) if m else self._encode(word)
 
@@ -95,7 +99,7 @@ class WordIds:
 
     def forget(self) -> None:
         """Start with no words: workers are used again by other operators and should not keep what they do not need."""
-        self.kept = _Kept(self._word, {})
+        self.kept = _Kept(self.encode, {})
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -103,7 +107,7 @@ class WordIds:
         for t in texts:
             if len(self.kept) > KEPT_WORDS:
                 self.kept.older = {}
-                self.kept = _Kept(self._word, self.kept)
+                self.kept = _Kept(self.encode, self.kept)
             out.append(b"".join(map(self.kept.__getitem__, t.replace("\n", " ").split(" "))))
         return out
 

@@ -99,8 +99,12 @@ def greedy_groups(items: DataFrame, place: str, subject: str) -> DataFrame:
     firsts = firsts.select("low", "f.*").withColumn("size", F.size("tokens")).withColumn("chars", F.length("low"))
     firsts.write.parquet(f"{folder}/firsts")
     firsts = items.sparkSession.read.parquet(f"{folder}/firsts")
-    x, y = (firsts.select(F.col("place").alias(s), F.col("subject").alias(f"subject_{s}")) for s in "xy")
-    scored = _likely_pairs(firsts).join(x, "x").join(y, "y").withColumn("similarity", _similarity("subject_y", "subject_x"))
+    x, y = (firsts.select(F.col("place").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("subject", "tokens", "chars"))) for s in "xy")
+    pairs = _likely_pairs(firsts).join(x, "x").join(y, "y")
+    # the exact share of tokens, with what the lengths allow at most, leaves few pairs to compare by characters
+    share = F.size(F.array_intersect("tokens_x", "tokens_y")) / F.size(F.array_union("tokens_x", "tokens_y"))
+    pairs = pairs.where(share + 2 * F.least("chars_x", "chars_y") / (F.col("chars_x") + F.col("chars_y")) >= 2 * (THRESHOLD - 0.001)).select("x", "y", "subject_x", "subject_y")
+    scored = pairs.withColumn("similarity", _similarity("subject_y", "subject_x"))
     scored.where(F.col("similarity") >= THRESHOLD).select("x", "y", "similarity").write.parquet(f"{folder}/scored")
     scored = items.sparkSession.read.parquet(f"{folder}/scored")
     best = scored.groupBy("y").agg(F.max("similarity").alias("similarity"))

@@ -109,4 +109,4 @@ def probability(margin: Column, steps: list[tuple[float, float]]) -> Column:
     if not steps:
         return F.lit(None).cast("double")
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(p).alias("p")) for a, p in steps])
-    return F.coalesce(F.element_at(F.filter(table, lambda s: s["a"] <= margin), -1)["p"] if len(steps) > 1 else F.lit(steps[0][1]), F.lit(steps[0][1]))
+    return F.coalesce(F.try_element_at(F.filter(table, lambda s: s["a"] <= margin), F.lit(-1))["p"], F.lit(steps[0][1]))  # no entry reached: null, not an error

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tessera.operators import calibrate, clusters, margins, terms
 from tessera.plans.registry import Tables, query
 from tessera.plans.restore import first_sentence
+from tessera.sources.shared import work_folder
 
 
 @query("""
@@ -126,7 +127,10 @@ def vector_clusters(t: Tables) -> DataFrame:
 def margin_suggestions(t: Tables) -> DataFrame:
     """TX-54 and TX-55: learned from documents with a quality label, a suggestion for each without one, where the margin is half or more, with a calibrated probability; elsewhere a rule on length decides."""
     labels = t.labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = t.documents.join(labels, "doc_id", "left").select("doc_id", F.size(F.split("text", " ")).alias("words"), margins.hashed_words(F.col("text")).alias("cells"), F.when(F.col("quality").isNotNull(), 2 * F.col("quality") - 1).alias("label"))
+    cells = t.documents.select("doc_id", F.size(F.split("text", " ")).alias("words"), margins.hashed_words(F.col("text")).alias("cells"))
+    path = work_folder(t.spark, "suggestions")
+    cells.join(labels.hint("merge"), "doc_id", "left").select("doc_id", "words", "cells", F.when(F.col("quality").isNotNull(), 2 * F.col("quality") - 1).alias("label")).write.option("compression", "zstd").parquet(path)  # read three times
+    rows = t.spark.read.parquet(path)
     known = rows.where("label is not null").select("cells", "label")
     weights = margins.train_margins(known)
     steps = margins.calibrate(margins.score_margins(known, weights))

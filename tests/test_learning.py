@@ -70,6 +70,12 @@ def test_margins_separate_and_probabilities_rise(spark):
     assert not margins.train_margins(df.where("label > 0")).any()
 
 
+def test_margins_below_every_step_have_the_lowest_probability(spark):
+    df = spark.createDataFrame([(-9.0,), (-0.5,), (0.2,), (7.0,)], "margin double").orderBy("margin")
+    assert [r["p"] for r in df.select(margins.probability(F.col("margin"), [(-1.0, 0.1), (0.0, 0.4), (1.0, 0.9)]).alias("p")).collect()] == [0.1, 0.1, 0.4, 0.9]
+    assert [r["p"] for r in df.select(margins.probability(F.col("margin"), [(0.0, 0.3)]).alias("p")).collect()] == [0.3] * 4
+
+
 def test_votes_of_two_engines(spark):
     a = spark.createDataFrame([(1, 1, 10), (1, 2, 10), (1, 3, 0), (2, 1, 4), (4, 1, 12)], "page int, k int, n int")
     b = spark.createDataFrame([(1, 1, 12), (1, 2, 13), (1, 5, 0), (3, 7, 9), (4, 1, 10)], "page int, k int, n int")

@@ -11,6 +11,7 @@ def explode(edges: DataFrame, tops: DataFrame, most_levels: int = 1000) -> DataF
 
     Levels are added until there is no new one; a bill of more than ``most_levels`` is an error, never cut. As the plan runs later, the session's
     ``spark.sql.cteRecursionRowLimit`` stays lifted. Shared assemblies give a row for each path to them, so rows grow with the paths.
+    The edges are as many as the parts and join once a level, so they are shuffled: a broadcast would pass them through the driver each time.
     """
     spark = edges.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # rows are not bounded, by default they are by a million
@@ -20,7 +21,7 @@ def explode(edges: DataFrame, tops: DataFrame, most_levels: int = 1000) -> DataF
         WITH RECURSIVE tree MAX RECURSION LEVEL {most_levels + 1} AS (
             SELECT top, top AS item, 0 AS level, CAST(1 AS DOUBLE) AS qty, array(top) AS path, false AS cycle FROM tessera_bom_tops
             UNION ALL
-            SELECT t.top, e.child, t.level + 1, t.qty * e.qty, array_append(t.path, e.child), array_contains(t.path, e.child)
+            SELECT /*+ MERGE(e) */ t.top, e.child, t.level + 1, t.qty * e.qty, array_append(t.path, e.child), array_contains(t.path, e.child)
             FROM tree t JOIN tessera_bom_edges e ON e.parent = t.item WHERE NOT t.cycle)
         SELECT top, item, level, qty, cycle FROM tree WHERE level > 0""")
 
@@ -33,10 +34,10 @@ def where_used(edges: DataFrame, items: DataFrame, most_levels: int = 1000) -> D
 
 def roots(edges: DataFrame) -> DataFrame:
     """top: every parent that is no child."""
-    return edges.select(F.col("parent").alias("top")).distinct().join(edges.select(F.col("child").alias("top")), "top", "left_anti")
+    return edges.select(F.col("parent").alias("top")).distinct().join(edges.select(F.col("child").alias("top")).hint("merge"), "top", "left_anti")
 
 
 def roll_up_cost(exploded: DataFrame, costs: DataFrame, edges: DataFrame) -> DataFrame:
     """top, cost: accumulated quantity times unit cost of the leaves."""
-    leaves = exploded.join(edges.select(F.col("parent").alias("item")).distinct(), "item", "left_anti")
-    return leaves.join(costs, "item").groupBy("top").agg(F.sum(F.col("qty") * F.col("cost")).alias("cost"))
+    leaves = exploded.join(edges.select(F.col("parent").alias("item")).distinct().hint("merge"), "item", "left_anti")
+    return leaves.join(costs.hint("merge"), "item").groupBy("top").agg(F.sum(F.col("qty") * F.col("cost")).alias("cost"))

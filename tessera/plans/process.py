@@ -159,7 +159,7 @@ def bom_cost(t: Tables) -> DataFrame:
     SELECT item, used_in, min(level) AS level FROM up WHERE level > 0 GROUP BY 1, 2""")
 def bom_where_used(t: Tables) -> DataFrame:
     """REC-03 of every bought part: what has no parts of its own"""
-    bought = t.part.select(F.col("p_partkey").alias("item")).join(edges(t).select(F.col("parent").alias("item")), "item", "left_anti")
+    bought = t.part.select(F.col("p_partkey").alias("item")).join(edges(t).select(F.col("parent").alias("item")).hint("merge"), "item", "left_anti")
     return bom.where_used(edges(t), bought)
 
 
@@ -175,7 +175,7 @@ _WHOLE_TREE = f"""WITH RECURSIVE {EDGES}, tree AS (SELECT DISTINCT parent AS top
 
 
 def _compliance(t: Tables, tops: DataFrame) -> DataFrame:
-    x = bom.explode(edges(t), tops).join(t.part.select(F.col("p_partkey").alias("item"), "p_type", "p_size"), "item").withColumn("lead", F.col("p_size") + F.col("level"))
+    x = bom.explode(edges(t), tops).join(t.part.select(F.col("p_partkey").alias("item"), "p_type", "p_size").hint("merge"), "item").withColumn("lead", F.col("p_size") + F.col("level"))
     return x.groupBy("top").agg(F.count_if(F.col("p_type") != "PROMO").alias("compliant"), F.count_if(F.col("p_type") == "PROMO").alias("not_compliant"), F.max("lead").alias("lead_time"), F.max_by("item", F.struct("lead", -F.col("item"))).alias("critical"))
 
 

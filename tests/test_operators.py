@@ -75,6 +75,16 @@ def test_deep_and_wide_bills_are_not_cut(spark):
     assert bom.explode(wide, top).count() == 1_100_000
 
 
+def test_bills_pass_no_edges_through_the_driver(spark):
+    edges = spark.range(1, 40).select(F.expr("id div 2").alias("parent"), F.col("id").alias("child"), F.lit(1.0).alias("qty"))
+    tree = bom.explode(edges, bom.roots(edges))
+    costs = edges.select(F.col("child").alias("item"), F.lit(1.0).alias("cost"))
+    for df in (tree, bom.roll_up_cost(tree, costs, edges), bom.where_used(edges, costs)):
+        plan = df._jdf.queryExecution()
+        assert "strategy=merge" in plan.analyzed().toString() and "Broadcast" not in plan.executedPlan().toString()
+    assert bom.roll_up_cost(tree, costs, edges).head()["cost"] == 20.0  # leaves 20 to 39
+
+
 def test_reconcile(spark):
     a = spark.createDataFrame([(1, 100.0), (2, 100.0), (3, 5.0), (5, 0.0)], "k int, value double")
     b = spark.createDataFrame([(1, 101.0), (2, 100000.0), (4, 5.0), (5, 0.0)], "k int, value double")

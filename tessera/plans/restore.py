@@ -165,7 +165,7 @@ def revision_log(t: Tables) -> DataFrame:
     lines = lambda c: F.size(F.split(c, "\n"))
     for k, (stage, pattern, after) in enumerate(_STAGES):
         now = patches.replay(F.col("text"), F.col("revisions"), F.lit(k))
-        seen = rows.select("doc_id", (F.col("text") if stage == "stale" else now).alias("text"))
+        seen = t.documents.select("doc_id", "text") if stage == "stale" else rows.select("doc_id", now.alias("text"))
         found = patches_of(patches.find_claims(seen, "doc_id", "text", [(stage, 1, pattern)]), "doc_id", F.lit(after))
         rows = _with_patches(rows.withColumn("now", now), found)
         same_lines = lines(patches.applied(F.col("now"), F.col("patches"))) == lines(F.col("now"))

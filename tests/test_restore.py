@@ -3,6 +3,7 @@
 import difflib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,17 @@ def test_mail_files(spark):
     assert (a["sender"], a["body"], a["note"], str(a["sent"])) == ("a@b.c", "交期確認", "", "2026-05-01 13:05:00") and a["subject"] == bytes([0xA4, 0xE8, 0xA6, 0xEE]).decode("big5")
     assert (got["b"]["message_id"], got["b"]["body"]) == ("<1@x>", "é") and got["c"]["body"] == got["d"]["body"] == "" and got["c"]["sent"] is None
     assert got["e"]["note"].startswith("decoded-as:") and (got["f"]["body"], got["f"]["note"]) == ("客戶問題", "mojibake-fixed:latin-1->utf8")
+
+
+def test_patches_of_a_long_text_take_time_in_proportion(spark):
+    piece = "\ufeffaé12 \U0001f600the "  # a mark that decoding might take, and characters of one to four bytes
+    k = 12_000
+    text = piece * k
+    edits = [(i * len(piece) + 3, i * len(piece) + 5, "12", "#" * (i % 4)) for i in range(k)]
+    df = spark.createDataFrame([(text, edits), (None, []), ("", [])], f"t string, p array<{patches.PATCH}>")
+    began = time.monotonic()
+    new = patches.applied(F.col("t"), F.col("p"))
+    got = df.select(patches.problem(F.col("t"), F.col("p")).alias("why"), new.alias("new"), F.col("p"), F.col("t")).withColumn("back", patches.applied(F.col("new"), patches.inverse(F.col("p")))).select("why", "new", "back").collect()
+    assert time.monotonic() - began < 20
+    assert tuple(got[0]) == (None, "".join(f"\ufeffaé{'#' * (i % 4)} \U0001f600the " for i in range(k)), text)
+    assert [tuple(r) for r in got[1:]] == [(None, None, None), (None, "", "")]

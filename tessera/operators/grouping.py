@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tessera.sources.shared import work_folder
@@ -17,8 +18,13 @@ THRESHOLD = 0.55
 #: Words of subject lines that say nothing of the matter.
 STOP = frozenset("re fw fwd the a an of to for and in on at is are be with by from".split())
 _TOKEN = "[a-z0-9]+|[一-鿿]"
-#: Similarity is half the share of common tokens and half the share of matching characters, to three digits; so the first is this at least.
-_LEAST_SHARE = 2 * (THRESHOLD - 0.0005) - 1
+#: Texts of a block at most; blocks of fewer texts there are, so that many tasks have work; texts of such a block at least; texts compared at once.
+BLOCK, FEW_BLOCKS, SMALL, CHUNK = 32_768, 16, 4096, 1024
+#: Pairs that wait to be compared by characters, at most (and those of one comparison of chunks).
+WAITING = 1_000_000
+#: Numbers that bound common tokens; kinds of characters, and the counts of each kind that are told apart.
+_TOKEN_KINDS, _CHAR_KINDS, _LEVELS = 512, 32, 12
+_KIND = np.array([1 if chr(c).isdigit() else c - 94 if "a" <= chr(c) <= "z" else 0 if c == 32 else 2 for c in range(128)])
 
 
 def tokens(subject: Column) -> Column:
@@ -27,9 +33,13 @@ def tokens(subject: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_except(found, F.array(*map(F.lit, sorted(STOP))))))
 
 
+def _words(low: str) -> set[str]:
+    return {t for t in re.findall(_TOKEN, low) if t not in STOP}
+
+
 def similarity(new: str, old: str) -> float:
     """Of a text to an earlier one: half Jaccard similarity of tokens, half ratio of matching characters (which depends on the order)."""
-    a, b = ({t for t in re.findall(_TOKEN, x.lower()) if t not in STOP} for x in (new, old))
+    a, b = _words(new.lower()), _words(old.lower())
     share = len(a & b) / len(a | b) if a or b else 0.0
     match = SequenceMatcher(None, new.lower(), old.lower())
     if 0.5 * share + 0.5 * match.quick_ratio() < THRESHOLD - 0.001:  # an upper bound is already too low
@@ -37,27 +47,97 @@ def similarity(new: str, old: str) -> float:
     return round(0.5 * share + 0.5 * match.ratio(), 3)
 
 
-@F.pandas_udf(DoubleType())
-def _similarity(new: pd.Series, old: pd.Series) -> pd.Series:
-    return pd.Series([similarity(a, b) for a, b in zip(new, old)], dtype=float)
+class _Bounds:
+    """Texts, shortest first, as vectors whose products are at least the numbers of tokens and of characters that two texts have in common.
 
+    Tokens count by kinds (a hash), so their product is too high at worst. Characters count by kinds as well: the first counts of a kind are
+    told apart, so the product is the smaller count; of what is beyond, the root of the product is at least the smaller.
+    """
 
-def _likely_pairs(firsts: DataFrame) -> DataFrame:
-    """x before y: pairs that share a token among the rarest of each that a pair with enough common tokens must share.
-
-    With a share of s, two sets have one of their ``n - ceil(s n) + 1`` rarest tokens in common. Pairs whose numbers of tokens and
-    lengths already bound the similarity too low go in the join.
+    def __init__(self, texts: list[str]):
+        low, n = [t.lower() for t in texts], len(texts)
+        found = [_words(t) for t in low]
+        self.size, self.chars = np.array([len(f) for f in found], dtype=np.float32), np.array([len(t) for t in low], dtype=np.float32)
+        kinds = np.array([crc32(t.encode()) % _TOKEN_KINDS for f in found for t in f], dtype=np.int64)
+        rows = np.repeat(np.arange(n), self.size.astype(np.int64))
+        self.tokens = np.bincount(rows * _TOKEN_KINDS + kinds, minlength=n * _TOKEN_KINDS).reshape(n, -1).astype(np.float32)
+        points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        kinds = np.where(points < 128, _KIND[np.minimum(points, 127)], 29 + points % 3)
+        rows = np.repeat(np.arange(n), self.chars.astype(np.int64))
+        counts = np.bincount(rows * _CHAR_KINDS + kinds, minlength=n * _CHAR_KINDS).reshape(n, -1)
+        told = (counts[:, :, None] > np.arange(_LEVELS)).reshape(n, -1)
+        self.letters = np.concatenate([told, np.sqrt(np.maximum(counts - _LEVELS, 0))], axis=1).astype(np.float32)
+
+    def most(self, at: slice, other: _Bounds, to: slice) -> np.ndarray:
+        """Twice the similarity that texts here and there have at most."""
+        size, size_o, chars, chars_o = self.size[at, None], other.size[to], self.chars[at, None], other.chars[to]
+        common = np.minimum(self.tokens[at] @ other.tokens[to].T, np.minimum(size, size_o))
+        return common / (size + size_o - common) + 2 * np.minimum(self.letters[at] @ other.letters[to].T, np.minimum(chars, chars_o)) / (chars + chars_o)
+
+    def may_reach(self, at: slice, other: _Bounds, to: slice, least: float) -> bool:
+        """Whether numbers of tokens and lengths alone allow a pair of these stretches to reach ``least``."""
+        ratio = lambda a, b: min(1.0, float(a.max() / b.min()), float(b.max() / a.min()))
+        size, chars = ratio(self.size[at], other.size[to]), ratio(self.chars[at], other.chars[to])
+        return size + 2 * chars / (1 + chars) >= least
+
+
+def _best_of_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """x, y, similarity: for each text of two blocks (or of one, with itself) the earlier texts there that are most similar to it, if they reach the threshold."""
+    rows = rows.iloc[np.argsort(rows["subject"].str.len().to_numpy(), kind="stable")].reset_index(drop=True)
+    place, subject = rows["place"].to_numpy(), rows["subject"].tolist()
+    late = np.argsort(np.argsort(place, kind="stable"), kind="stable")
+    sides = [np.flatnonzero(rows["own"].to_numpy() == b) for b in rows["own"].drop_duplicates()]
+    bounds, least = [_Bounds([subject[i] for i in side]) for side in sides], 2 * (THRESHOLD - 0.001) - 1e-4
+    best, found = np.zeros(len(rows)), {}
+    here, there, alone = 0, len(sides) - 1, rows["own"].iloc[0] == rows["other"].iloc[0]
+    if not alone and len(sides) == 1:
+        return pd.DataFrame({"x": place[:0], "y": place[:0], "similarity": best[:0]})
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        new, old, most = (np.concatenate(c) for c in zip(*waiting))
+        for i in np.argsort(-most, kind="stable"):  # likely ones first: what can't reach the best so far is not compared
+            y, x = new[i], old[i]
+            if most[i] / 2 + 0.001 >= best[y]:
+                s = similarity(subject[y], subject[x])
+                if s >= THRESHOLD and s >= best[y]:
+                    found[y] = [*(found[y] if s == best[y] else []), x]
+                    best[y] = s
+        waiting.clear()
+
+    for lo in range(0, len(sides[here]), CHUNK):
+        for lo_o in range(lo if alone else 0, len(sides[there]), CHUNK):
+            at, to = slice(lo, lo + CHUNK), slice(lo_o, lo_o + CHUNK)
+            if bounds[here].may_reach(at, bounds[there], to, least):
+                most = bounds[here].most(at, bounds[there], to)
+                i, j = np.nonzero(np.triu(most, 1) >= least if alone and lo == lo_o else most >= least)
+                a, b = sides[here][at][i], sides[there][to][j]
+                later = late[a] > late[b]
+                new, old, top = np.where(later, a, b), np.where(later, b, a), most[i, j]
+                open_ = top / 2 + 0.001 >= best[new]
+                waiting.append((new[open_], old[open_], top[open_]))
+                if sum(len(w[0]) for w in waiting) >= WAITING:
+                    settle()
+    if waiting:
+        settle()
+    pairs = [(x, y) for y, xs in found.items() for x in xs]
+    x, y = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
+    return pd.DataFrame({"x": place[x], "y": place[y], "similarity": best[y]})
+
+
+def _most_similar(firsts: DataFrame) -> DataFrame:
+    """x, y, similarity: the earlier texts most similar to each within every pair of blocks, if they reach the threshold.
+
+    All pairs have to be looked at, so time grows with their number. Texts are dealt into blocks and each pair of blocks is a task's; no pair
+    is shuffled but those found, and the texts only as often as there are blocks.
     """
-    spread = firsts.select("place", "size", "chars", F.explode("tokens").alias("token"))
-    often = spread.groupBy("token").agg(F.count("*").alias("often"))
-    by_rarity = Window.partitionBy("place").orderBy("often", "token")
-    ranked = spread.join(often, "token").withColumn("rank", F.row_number().over(by_rarity))
-    prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * _LEAST_SHARE) + 1)
-    x, y = (prefix.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("place", "size", "chars"))) for side in "xy")
-    share = F.least("size_x", "size_y") / F.greatest("size_x", "size_y")
-    match = 2 * F.least("chars_x", "chars_y") / (F.col("chars_x") + F.col("chars_y"))
-    near = x.join(y, (x["token"] == y["token"]) & (F.col("place_x") < F.col("place_y")) & (share + match >= 2 * (THRESHOLD - 0.001)))
-    return near.select(F.col("place_x").alias("x"), F.col("place_y").alias("y")).distinct()
+    n = firsts.count()
+    blocks = max(-(-n // BLOCK), min(FEW_BLOCKS, -(-n // SMALL)), 1)
+    own, other = F.col("own"), F.col("other")
+    dealt = firsts.select("place", "subject", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int").alias("own"))
+    pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).withColumn("task", F.least(own, other) * blocks + F.greatest(own, other))
+    place = firsts.schema["place"].dataType.simpleString()
+    return pairs.repartition(2 * blocks * (blocks + 1), "task").groupBy("task").applyInPandas(_best_of_blocks, f"x {place}, y {place}, similarity double")
 
 
 def _founders(links: DataFrame, folder: str) -> DataFrame:
@@ -95,17 +175,11 @@ def greedy_groups(items: DataFrame, place: str, subject: str) -> DataFrame:
     """
     folder = work_folder(items.sparkSession, "groups")
     rows = items.select(F.col(place).alias("place"), F.coalesce(F.col(subject), F.lit("")).alias("subject")).withColumn("tokens", tokens(F.col("subject"))).withColumn("low", F.lower("subject"))
-    firsts = rows.where(F.size("tokens") > 0).groupBy("low").agg(F.min(F.struct("place", "subject", "tokens")).alias("f"))
-    firsts = firsts.select("low", "f.*").withColumn("size", F.size("tokens")).withColumn("chars", F.length("low"))
+    firsts = rows.where(F.size("tokens") > 0).groupBy("low").agg(F.min(F.struct("place", "subject")).alias("f"))
+    firsts = firsts.select("low", "f.*")
     firsts.write.parquet(f"{folder}/firsts")
     firsts = items.sparkSession.read.parquet(f"{folder}/firsts")
-    x, y = (firsts.select(F.col("place").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("subject", "tokens", "chars"))) for s in "xy")
-    pairs = _likely_pairs(firsts).join(x, "x").join(y, "y")
-    # the exact share of tokens, with what the lengths allow at most, leaves few pairs to compare by characters
-    share = F.size(F.array_intersect("tokens_x", "tokens_y")) / F.size(F.array_union("tokens_x", "tokens_y"))
-    pairs = pairs.where(share + 2 * F.least("chars_x", "chars_y") / (F.col("chars_x") + F.col("chars_y")) >= 2 * (THRESHOLD - 0.001)).select("x", "y", "subject_x", "subject_y")
-    scored = pairs.withColumn("similarity", _similarity("subject_y", "subject_x"))
-    scored.where(F.col("similarity") >= THRESHOLD).select("x", "y", "similarity").write.parquet(f"{folder}/scored")
+    _most_similar(firsts).write.parquet(f"{folder}/scored")
     scored = items.sparkSession.read.parquet(f"{folder}/scored")
     best = scored.groupBy("y").agg(F.max("similarity").alias("similarity"))
     founders = _founders(scored.join(best, ["y", "similarity"]).select("y", "x"), folder)

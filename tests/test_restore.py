@@ -66,6 +66,28 @@ def test_groups_of_made_subjects(spark):
     assert sum(n for n, _ in names.values()) == len(rows) and any("battery" in (name or "") for _, name in names.values())
 
 
+def test_groups_from_many_blocks(spark, monkeypatch):
+    """All pairs are looked at in pairs of blocks, also in small chunks, and no pair of texts that share a word is shuffled."""
+    rng = random.Random(3)
+    words = ["report", "yield", "motor", "Éclair", "ab12", "下週", "出貨", "noise", "plan", "eeeeeeeeeeeeeeeeeeee" * 3]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) + rng.choice(["", "!", " of it"])) for i in rng.sample(range(1000), 120)]
+    monkeypatch.setattr(grouping, "BLOCK", 25)
+    df = spark.createDataFrame(rows, "place long, s string")
+    got = {r["place"]: (r["founder"], r["similarity"]) for r in grouping.greedy_groups(df, "place", "s").collect()}
+    assert got == sequential_groups(rows)
+    texts = df.withColumnRenamed("s", "subject")
+    found = grouping._most_similar(texts)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    best = lambda pairs: {y: (s, {x for x, b, t in pairs if b == y and t == s}) for y, s in {y: max(t for _, b, t in pairs if b == y) for _, y, _ in pairs}.items()}
+    every = [(x, y, grouping.similarity(t, o)) for y, t in rows for x, o in rows if x < y]
+    every = [p for p in every if p[2] >= grouping.THRESHOLD]
+    assert best([tuple(r) for r in found.collect()]) == best(every)
+    monkeypatch.setattr(grouping, "CHUNK", 7)
+    monkeypatch.setattr(grouping, "WAITING", 5)
+    alone = grouping._best_of_blocks(texts.toPandas().assign(own=0, other=0, task=0))
+    assert best(list(alone.itertuples(index=False, name=None))) == best(every) and len(alone) <= len(every)
+
+
 def test_long_chains_of_founders(spark, tmp_path):
     links = [(i, i - 1) for i in range(1, 200)] + [(i, i - 7) for i in range(50, 200, 11)] + [(300, 250), (300, 0), (301, 300), (302, 301), (302, 250)]
     got = {r["item"]: r["founder"] for r in grouping._founders(spark.createDataFrame(links, "y long, x long"), str(tmp_path)).collect()}

@@ -15,19 +15,32 @@ from pyspark.sql.window import Window
 PATCH = "struct<start:int,end:int,before:string,after:string>"
 
 
+#: Set around matches, to find their places in one pass; a character that texts do not have as a rule.
+MARK = "\uffff"
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Array of (gap, found): each match and the number of characters between it and the one before."""
+
+    def paired(parts: Column) -> Column:  # what stands between the matches, and the matches, in turn
+        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: F.struct(F.length(F.get(parts, i - 1)).alias("gap"), F.get(parts, i).alias("found"))))
+
+    twice = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    apart = F.transform(F.filter(twice, lambda p: p["found"].isNotNull()), lambda p: F.struct(F.length(p["gap"]).alias("gap"), p["found"].alias("found")))
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
+    return F.when(F.contains(text, F.lit(MARK)), apart).otherwise(let(marked, paired))
+
+
 def find_claims(texts: DataFrame, id: str, text: str, patterns: list[tuple[str, int, str]]) -> DataFrame:
-    """id, kind, priority, start, end, found: all matches of each (kind, priority, regular expression) in every text; null texts have none."""
-    out = None
-    for kind, priority, pattern in patterns:
-        # what stands between the matches, and the matches, in turn: their lengths add up to places
-        parts = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-        rows = texts.select(F.col(id), F.posexplode(parts).alias("k", "p")).select(id, "k", F.length("p.gap").alias("gap"), F.col("p.found").alias("found"))
-        upto = Window.partitionBy(id).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-        ends = F.sum(F.col("gap") + F.coalesce(F.length("found"), F.lit(0))).over(upto).cast("int")
-        rows = rows.withColumn("end", ends).where("found is not null")
-        rows = rows.select(id, F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), (F.col("end") - F.length("found")).alias("start"), "end", "found")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """id, kind, priority, start, end, found: all matches of each (kind, priority, regular expression) in every text; null texts have none.
+
+    Texts are read once and their matches brought together by id once, so what follows by id needs no shuffle.
+    """
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), _matches(F.col(text), pattern).alias("matches")) for kind, priority, pattern in patterns])
+    rows = texts.select(F.col(id), F.posexplode(each).alias("of", "x")).select(id, "of", "x.kind", "x.priority", F.posexplode("x.matches").alias("k", "m"))
+    upto = Window.partitionBy(id, "of").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(id, "of", "kind", "priority", "k", "m.*").repartition(id).withColumn("end", F.sum(F.col("gap") + F.length("found")).over(upto).cast("int"))
+    return rows.select(id, "kind", "priority", (F.col("end") - F.length("found")).alias("start"), "end", "found")
 
 
 def resolve_claims(claims: DataFrame, id: str) -> DataFrame:

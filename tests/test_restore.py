@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import calibrate, grouping, patches, tables, terms
-from tessera.plans.restore import first_sentence
+from tessera.plans.restore import KINDS, QUICK_KINDS, first_sentence
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -123,6 +123,20 @@ def test_claims_and_patches(spark):
     assert all((text, "", "é中 7")[[1, 3, 4].index(r["id"])][r["start"] : r["end"]] == r["found"] for r in kept.collect())
 
 
+def test_claims_are_places_of_matches(spark):
+    """Texts with the mark itself, whole matches, neighbours and matches inside words; the quick patterns find what the plain ones find, in one reading of the texts."""
+    rng = random.Random(4)
+    bits = ["ab", "a.b@c.org", "_d@e.ff", "x@y.zz_w@v.uu", "lower case.", "one two three.", "a b.c d.", ".", "@", "é", "中", "\n", " ", "\uffff", "12,5", "Big word"]
+    rows = [(i, "".join(rng.choice(bits[: 16 - 3 * (i % 2)]) for _ in range(rng.randint(0, 30)))) for i in range(300)] + [(300, None), (301, ""), (302, "\uffff"), (303, "a@b.cc")]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(2)
+    found = patches.find_claims(df, "id", "text", QUICK_KINDS)
+    want = [(i, kind, n, m.start(), m.end(), m.group()) for i, text in rows for kind, n, pattern in KINDS for m in re.finditer(pattern, text or "")]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and {w[1] for w in want} >= {"mail", "pair", "opening", "number"}
+    assert sorted(tuple(r) for r in patches.find_claims(df, "id", "text", KINDS).collect()) == sorted(want)
+    plan = patches.resolve_claims(found, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("Exchange") == 1
+
+
 def test_overlaps_by_priority(spark):
     rng = random.Random(6)
     claims = [(d, f"k{rng.randint(0, 3)}", rng.randint(1, 4), s, s + rng.randint(1, 9)) for d in range(20) for s in rng.sample(range(60), 25)]

@@ -29,7 +29,7 @@ def cells_of_lines(texts: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def repair_tables(rows: DataFrame, id: str, line: str, cells: str) -> DataFrame:
@@ -133,9 +133,12 @@ def repair_blocks(blocks: DataFrame, id: str, line: str, text: str) -> DataFrame
 
     A title stands alone and ends what comes before it. What no sentence end follows is a block too. Lines of one page are ordered in one task.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.translate(_strip(F.regexp_replace(text, NOISE, " ")), "\u3000\u00a0", "  "), "(?<=[一-龥])\\s+(?=[一-龥])", ""), " {2,}", " ")
-    rows = blocks.select(F.col(id).alias("id"), F.col(line).alias("line"), bare.alias("text")).where((F.length("text") >= 2) & ~_strip(F.col("text")).rlike(AXIS))
-    first = rows.groupBy("id", F.substring("text", 1, SAME).alias("key")).agg(F.min(F.struct("line", "text")).alias("f")).select("id", "f.*")
+    spaced = F.replace(F.replace(_strip(F.regexp_replace(text, NOISE, " ")), F.lit("\u3000"), F.lit(" ")), F.lit("\u00a0"), F.lit(" "))
+    bare = F.regexp_replace(F.regexp_replace(spaced, "(?<=[一-龥])\\s+(?=[一-龥])", ""), " {2,}", " ")
+    cleaned = blocks.select(F.col(id).alias("id"), F.col(line).alias("line"), F.explode(F.array(bare)).alias("text"))  # an element is worked out once, a column at each use
+    rows = cleaned.where((F.length("text") >= 2) & ~_strip(F.col("text")).rlike(AXIS)).repartition("id")
+    again = F.row_number().over(Window.partitionBy("id", F.substring("text", 1, SAME)).orderBy("line", "text"))
+    first = rows.withColumn("again", again).where("again = 1").drop("again")
     along = Window.partitionBy("id").orderBy("line")
     title, ends = F.length("text") < TITLE, _strip(F.col("text")).rlike(SENTENCE_END)
     marked = first.withColumn("title", title).withColumn("stop", title | ends)

@@ -88,3 +88,15 @@ def test_repaired_blocks(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "id int, line int, text string")
     got = [(r["text"], r["lines"]) for r in tables.repair_blocks(df, "id", "line", "text").orderBy("block").collect()]
     assert got == [("Quarterly report", 1), ("The company sold more unitsthan in the whole year before.", 2), ("Outlook is good and goes on", 1)]
+
+
+def test_repaired_blocks_are_shuffled_once(spark):
+    """Lines go to their page once; the first of equal beginnings stays; only white space at the very ends goes, also before a line separator."""
+    same = "y" * tables.SAME
+    lines = ["A line that is not ended \u2028", same + " first.", "\t\x0b A line of\u3000its\u00a0own. \r", same + " second."]
+    df = spark.createDataFrame([(p, i, t) for p in (1, None) for i, t in enumerate(lines)], "id int, line int, text string").repartition(3)
+    got = tables.repair_blocks(df, "id", "line", "text")
+    want = [("A line that is not ended \u2028" + same + " first.", 2), ("A line of its own.", 1)]
+    assert sorted((r["id"] or 0, r["block"], r["text"], r["lines"]) for r in got.collect()) == [(p, k + 1, *w) for p in (0, 1) for k, w in enumerate(want)]
+    plan = tables.repair_blocks(spark.range(3).selectExpr("id", "1 AS line", "'x' AS text"), "id", "line", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

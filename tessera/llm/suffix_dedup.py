@@ -372,9 +372,13 @@ def merge(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, scratch: Scratch | None, **sizes) -> DataFrame:
-    """docs (text compressed) with a column of spans, last."""
-    spans = removal(docs, scratch or Scratch(docs.sparkSession, "suffix"), **sizes).select(F.col("did").alias("__did"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+def _with_spans(docs: DataFrame, scratch: Scratch | None, also: DataFrame | None = None, **sizes) -> DataFrame:
+    """docs (text compressed) with a column of spans, last; ``also``: further spans (did, h, s, stop)."""
+    spans = removal(docs, scratch or Scratch(docs.sparkSession, "suffix"), **sizes)
+    if also is not None:
+        spans = spans.select("did", "h", F.explode("spans").alias("span")).unionByName(also.select("did", "h", F.struct("s", "stop").alias("span")))
+        spans = spans.groupBy("did", "h").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    spans = spans.select(F.col("did").alias("__did"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
     rows = docs.withColumn("__did", F.coalesce("doc_id", F.lit(0)).cast("long")).withColumn("__h", F.xxhash64("doc_id", "text"))
     return compressed(rows).join(spans, ["__did", "__h"], "left").select(*docs.columns, "__spans")
 
@@ -404,12 +408,12 @@ def removal_report(docs: DataFrame, **sizes) -> DataFrame:
     return rows.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean")
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, **sizes) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, also: DataFrame | None = None, **sizes) -> DataFrame:
     """docs with the repeated bytes gone from text; a character cut in two goes as well, null stays null, n_chars (if there) is counted anew.
 
-    The result reads tables of ``scratch``, which its owner may drop once the result is written.
+    ``also``: further bytes to remove, as ``passages.shared_passages`` gives them. The result reads tables of ``scratch``, which its owner may drop once the result is written.
     """
-    rows = _with_spans(docs, scratch, **sizes)
+    rows = _with_spans(docs, scratch, also, **sizes)
     names, at, chars = list(docs.columns), docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches):

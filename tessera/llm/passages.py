@@ -3,13 +3,17 @@
 Words are those of ``words``: runs of digits, letters and characters from U+0080 on, A-Z lower-cased, so case, marks and white
 space between them do not matter. A passage of so many words may be shorter than the strings ``suffix_dedup`` looks for.
 
-1. Anchors. In each window of words the gram of 17 words with the smallest hash is its anchor, so equal windows have equal anchors.
-   Anchors are counted once for each text that has them; those of fewer texts than asked for have no window to find.
-2. Windows. A Bloom table of the anchors left (32 MB at most, put together in Spark) picks the windows to look at; what it lets pass
-   by mistake finds too few partners. These windows are counted by a 128-bit digest of all their words, once for each document.
-
-Both counts are by partial sums, and no key's rows meet in one task. Matches do not cross documents, and a window that one
-document repeats counts once. Rows with equal id and text count as one document. Null and empty texts have no words. The words of one text are held at a time.
+1. Runs. In each window of words the gram of 17 words with the smallest hash is its anchor, so equal windows have equal anchors.
+   Consecutive windows with one anchor are a run. The documents that have an anchor are counted; those of fewer than asked for have no
+   window to find. Where all runs of an anchor are equal by a 128-bit digest of all their words, as in copies, these documents share
+   each of its windows, and a run is one row.
+2. Windows. Only the runs of the other anchors are taken apart. Their windows are counted by a 128-bit digest of all their words,
+   once for each document. Both kinds of anchors are known by Bloom tables (32 MB each at most, put together in Spark), in one
+   reading of the texts; what these let pass by mistake finds no anchor to join, or too few partners.
+
+Counts are by partial sums and joins are of tables that Spark can split, so no key's rows have to meet in one task. Matches do not
+cross documents, and a window that one document repeats counts once. Rows with equal id and text count as one document: where there
+are any, only one of each is read. Null and empty texts have no words. The words of one text are held at a time.
 """
 
 from __future__ import annotations
@@ -60,61 +64,92 @@ def joined(w: Words, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     return data, begin
 
 
-def anchor_counts(texts: DataFrame, words: int, gram: int) -> DataFrame:
-    """s (the hash), n: how many texts have each anchor."""
+def first_of(*columns: np.ndarray) -> np.ndarray:
+    """Marks one of the places that agree in all columns."""
+    order = np.lexsort(columns)
+    differ = [c[order][1:] != c[order][:-1] for c in columns]
+    out = np.zeros(len(order), dtype=bool)
+    out[order[np.flatnonzero(np.r_[True, np.logical_or.reduce(differ)])] if len(order) else order] = True
+    return out
+
+
+def digests_of(w: Words, p: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words p..stop; p ascends."""
+    spelt, begin = joined(w, p[0], stop[-1])
+    return digests(spelt, begin[p - p[0]], begin[stop - p[0]], stop - p)
+
+
+def anchor_kinds(texts: DataFrame, words: int, gram: int) -> DataFrame:
+    """key (the hash), n: how many texts have each anchor, mixed: whether its runs differ."""
 
     def emit(batches):
         for batch in batches:
             for _, _, data, offsets in runs(batch.column(0)):
                 w = words_of(data, offsets)
-                doc, key = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U)]
-                for first, _, hashes in anchors(w, words, gram):
-                    doc.append(w.doc[first])
-                    key.append(hashes)
-                doc, key = np.concatenate(doc), np.concatenate(key)
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
-                once = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])] if len(doc) else np.zeros(0, dtype=bool)
-                yield pa.RecordBatch.from_arrays([signed(key[once])], names=["s"])
+                found = [(w.doc[p], key, *digests_of(w, p, p + many - 1 + words)) for p, many, key in anchors(w, words, gram)]
+                if found:
+                    doc, key, w1, w2 = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([signed(key), signed(w1), signed(w2), pa.array(first_of(doc, key).astype("i1"))], names=["key", "w1", "w2", "fresh"])
 
-    return texts.select("text").mapInArrow(emit, "s long").groupBy("s").agg(F.count("*").alias("n"))
+    mixed = (F.min("w1") != F.max("w1")) | (F.min("w2") != F.max("w2"))
+    return texts.select("text").mapInArrow(emit, "key long, w1 long, w2 long, fresh byte").groupBy("key").agg(F.sum("fresh").alias("n"), mixed.alias("mixed"))
 
 
-def window_rows(texts: DataFrame, wanted: DataFrame, words: int, gram: int) -> DataFrame:
-    """did, h, s, stop (bytes) and digest (w1, w2) of the windows whose anchor may be wanted."""
-    shared = texts.sparkSession.sparkContext.broadcast(make_bloom(wanted, wanted.count(), None))
+def placed(texts: DataFrame, kinds: DataFrame, words: int, gram: int) -> DataFrame:
+    """did, h, s, stop (bytes) of the runs whose anchor may not be mixed (w1: its hash, w2: null) and of the windows whose anchor may be (w1, w2: the digest; fresh: one of each digest in a text)."""
+
+    def bloom(some: str):
+        wanted = kinds.where(some).select(F.col("key").alias("s"))
+        return texts.sparkSession.sparkContext.broadcast(make_bloom(wanted, wanted.count(), None))
+
+    alike, mixed = bloom("not mixed"), bloom("mixed")
+
+    def places(w: Words):
+        for p, many, key in anchors(w, words, gram):
+            hit = alike.value.places(key, np.arange(len(key)))
+            yield p[hit], (p + many - 1 + words)[hit], key[hit], key[hit], np.zeros(len(hit), dtype=bool)
+            hit = mixed.value.places(key, np.arange(len(key)))
+            if len(hit):
+                p, many = p[hit], many[hit]
+                p = np.repeat(p - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                yield p, p + words, *digests_of(w, p, p + words), np.ones(len(p), dtype=bool)
 
     def emit(batches):
         for batch in batches:
             for lo, _, data, offsets in runs(batch.column(2)):
                 w = words_of(data, offsets)
-                for first, many, hashes in anchors(w, words, gram):
-                    hit = shared.value.places(hashes, np.arange(len(hashes)))
-                    if not len(hit):
-                        continue
-                    first, many = first[hit], many[hit]
-                    spelt, begin = joined(w, first[0], first[-1] + many[-1] - 1 + words)
-                    p = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                    w1, w2 = digests(spelt, begin[p - first[0]], begin[p - first[0] + words], np.zeros(len(p)))
+                found = list(places(w))
+                if found:
+                    p, stop, w1, w2, window = (np.concatenate(x) for x in zip(*found))
                     doc = w.doc[p]
                     row = pa.array(lo + doc)
-                    columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(w.start[p] - offsets[doc]), pa.array(w.end[p + words - 1] - offsets[doc]), signed(w1), signed(w2)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["did", "h", "s", "stop", "w1", "w2"])
+                    digest = pa.array(w2.view(np.int64), mask=~window)
+                    columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(w.start[p] - offsets[doc]), pa.array(w.end[stop - 1] - offsets[doc]), signed(w1), digest, pa.array(window & first_of(doc, w1, w2, window))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["did", "h", "s", "stop", "w1", "w2", "fresh"])
 
-    return texts.select("did", "h", "text").mapInArrow(emit, "did long, h long, s long, stop long, w1 long, w2 long")
+    return texts.select("did", "h", "text").mapInArrow(emit, "did long, h long, s long, stop long, w1 long, w2 long, fresh boolean")
 
 
 def shared_passages(docs: DataFrame, scratch: Scratch, documents: int = 2, words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """did, h (see ``suffix_dedup.keyed``), s, stop: maximal stretches of bytes covered by windows that ``documents`` documents or more share."""
+    """did, h (see ``suffix_dedup.keyed``), s, stop: maximal stretches of bytes covered by windows that ``documents`` documents or more share; documents: how many share the commonest of these."""
     texts = keyed(docs).where(F.octet_length("text") >= 2 * words - 1)
-    wanted = scratch.table(anchor_counts(texts, words, gram).where(F.col("n") >= documents).select("s"), "anchors")
-    windows = scratch.table(window_rows(texts, wanted, words, gram), "passage_windows")
-    scratch.drop("anchors")
-    many = windows.select("w1", "w2", "did", "h").distinct().groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= documents)
-    found = windows.join(many.select("w1", "w2"), ["w1", "w2"], "left_semi").select("did", "h", "s", "stop")
+    if texts.groupBy("did", "h").count().where("count > 1").head(1):
+        texts = scratch.table(texts.dropDuplicates(["did", "h"]), "passage_texts")
+    kinds = scratch.table(anchor_kinds(texts, words, gram).where(F.col("n") >= documents), "anchors")
+    places = scratch.table(placed(texts, kinds, words, gram), "places")
+    alike = places.where("w2 is null").join(kinds.where("not mixed").select(F.col("key").alias("w1"), "n"), "w1").select("did", "h", "s", "stop", "n")
+    windows = places.where("w2 is not null")
+    many = windows.where("fresh").groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= documents)
+    found = alike.unionByName(windows.join(many, ["w1", "w2"]).select("did", "h", "s", "stop", "n"))
     in_text = Window.partitionBy("did", "h").orderBy("s", "stop")
     apart = F.coalesce(F.col("s") > F.max("stop").over(in_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     found = found.withColumn("new", apart.cast("int")).withColumn("stretch", F.sum("new").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = scratch.table(found.groupBy("did", "h", "stretch").agg(F.min("s").alias("s"), F.max("stop").alias("stop")).drop("stretch"), "passages")
-    scratch.drop("passage_windows")
+    spans = scratch.table(found.groupBy("did", "h", "stretch").agg(F.min("s").alias("s"), F.max("stop").alias("stop"), F.max("n").alias("documents")).drop("stretch"), "passages")
+    scratch.drop("passage_texts", "anchors", "places")
     return spans
+
+
+def passage_counts(docs: DataFrame, scratch: Scratch, **sizes) -> DataFrame:
+    """did, h, n_passages, n_passage_bytes (stretches of ``shared_passages`` and their bytes), passage_documents (how many share the commonest window) of each text that has any."""
+    found = shared_passages(docs, scratch, **sizes).groupBy("did", "h")
+    return found.agg(F.count("*").alias("n_passages"), F.sum(F.col("stop") - F.col("s")).alias("n_passage_bytes"), F.max("documents").alias("passage_documents"))

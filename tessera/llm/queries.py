@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import codebooks, decontam, embeddings, html, langid, linerules, minhash, packing, quality, suffix_dedup, tandem, toxicity, warc
+from tessera.llm import codebooks, decontam, embeddings, html, langid, linerules, minhash, packing, passages, quality, suffix_dedup, tandem, toxicity, warc
+from tessera.llm.scratch import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,8 +14,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes removed from all documents; nulls are empty texts, rows that repeat are each other's copies; see ``suffix_dedup``."""
-    return suffix_dedup.removal_report(_read(spark, sf_dir, "documents"))
+    """Bytes removed from all documents, and passages of over 50 words that documents share, which are counted only; nulls are empty texts, rows that repeat are each other's copies; see ``suffix_dedup``, ``passages``."""
+    docs, scratch = _read(spark, sf_dir, "documents"), Scratch(spark, "suffix")
+    return suffix_dedup.removal_report(docs, scratch, beside=passages.passage_counts(docs, scratch))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

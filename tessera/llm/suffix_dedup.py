@@ -372,15 +372,18 @@ def merge(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, scratch: Scratch | None, also: DataFrame | None = None, **sizes) -> DataFrame:
-    """docs (text compressed) with a column of spans, last; ``also``: further spans (did, h, s, stop)."""
+def _with_spans(docs: DataFrame, scratch: Scratch | None, also: DataFrame | None = None, beside: DataFrame | None = None, **sizes) -> DataFrame:
+    """docs (text compressed) with a column of spans, last; ``also``: further spans (did, h, s, stop); ``beside``: did, h and columns that come before the spans."""
     spans = removal(docs, scratch or Scratch(docs.sparkSession, "suffix"), **sizes)
     if also is not None:
         spans = spans.select("did", "h", F.explode("spans").alias("span")).unionByName(also.select("did", "h", F.struct("s", "stop").alias("span")))
         spans = spans.groupBy("did", "h").agg(F.sort_array(F.collect_set("span")).alias("spans"))
     spans = spans.select(F.col("did").alias("__did"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
     rows = docs.withColumn("__did", F.coalesce("doc_id", F.lit(0)).cast("long")).withColumn("__h", F.xxhash64("doc_id", "text"))
-    return compressed(rows).join(spans, ["__did", "__h"], "left").select(*docs.columns, "__spans")
+    rows, more = compressed(rows).join(spans, ["__did", "__h"], "left"), []
+    if beside is not None:
+        rows, more = rows.join(beside.withColumnsRenamed({"did": "__did", "h": "__h"}), ["__did", "__h"], "left"), beside.columns[2:]
+    return rows.select(*docs.columns, *more, "__spans")
 
 
 def _pieces(text: pa.Scalar, spans: pa.Scalar, unpack) -> tuple[bytes, list[tuple[int, int]], int]:
@@ -390,22 +393,28 @@ def _pieces(text: pa.Scalar, spans: pa.Scalar, unpack) -> tuple[bytes, list[tupl
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])), cut, len(raw)
 
 
-def removal_report(docs: DataFrame, **sizes) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, changed (bytes were removed) for each row of docs."""
-    rows = _with_spans(docs.select("doc_id", "text"), None, **sizes)
+def removal_report(docs: DataFrame, scratch: Scratch | None = None, beside: DataFrame | None = None, **sizes) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, changed (bytes were removed) for each row of docs.
+
+    ``beside``: did, h (see ``keyed``) and counts that follow, as ``passages.passage_counts`` gives them; 0 for texts without a row there. They change nothing else.
+    """
+    rows = _with_spans(docs.select("doc_id", "text"), scratch, beside=beside, **sizes)
+    more = rows.columns[2:-1]
 
     def report(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(1), batch.column(2)):
+            for text, spans in zip(batch.column(1), batch.column(batch.num_columns - 1)):
                 kept, cut, n = _pieces(text, spans, unpack)
                 out.append((n, n - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
             n, gone, cuts, sha = zip(*out) if out else [()] * 4
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, cuts)), pa.array(sha, pa.string()), pa.array([x > 0 for x in gone], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "changed"])
+            columns += [c.fill_null(0) for c in batch.columns[2:-1]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "changed", *more])
 
-    return rows.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean" + "".join(f", {c} long" for c in more)
+    return rows.mapInArrow(report, schema)
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, also: DataFrame | None = None, **sizes) -> DataFrame:

@@ -1,12 +1,13 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+import test_suffix_dedup
 
 import corpus_pipeline
-from tessera.llm import passages
+from tessera.llm import passages, queries
 from tessera.llm.scratch import Scratch
 from tessera.llm.words import text_bytes, words_of
 
@@ -91,3 +92,21 @@ def test_stage_cuts_short_passages_of_many_words(spark):
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert [got[i].split() for i in range(3)] == [f"{a} {b}".split() for a, b in own[:3]]
     assert all(got[i] == t for i, t in rows[3:])
+
+
+def test_op1_counts_passages_beside_the_bytes_it_removes(spark, tmp_path):
+    """A passage of 60 words under 400 bytes that two or three documents share is counted, one of 50 words or in one document is not; the removal is that of strings of 400 bytes."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda k: " ".join(word() for _ in range(k))
+    common, rare, short, long, own = text(60), text(60), text(50), text(90), text(60)
+    assert len(common) < 400 < len(long)
+    inside = [common, common, common, rare, rare, short, short, long, long, f"{own} {text(5)} {own}", f"{rare} {text(5)} {common}"]
+    rows = [(i, f"{text(30)} {p} {text(30)}") for i, p in enumerate(inside)] + [(11, None), (12, ""), (None, text(70)), (13, rare), (13, rare)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_suffix_dedup(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r[:5]) for r in got) == test_suffix_dedup.brute(rows, 400)
+    counts = {r["doc_id"]: (r["n_passages"], r["n_passage_bytes"], r["passage_documents"]) for r in got}
+    want = {i: (1, 359, 4) for i in (0, 1, 2)} | {i: (1, 359, 4) for i in (3, 4, 13)} | {i: (1, 539, 2) for i in (7, 8)} | {10: (2, 718, 4)}
+    assert counts == {i: want.get(i, (0, 0, 0)) for i, _ in rows}
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {7, 8}

@@ -5,15 +5,15 @@ space between them do not matter. A passage of so many words may be shorter than
 
 1. Runs. In each window of words the gram of 17 words with the smallest hash is its anchor, so equal windows have equal anchors.
    Consecutive windows with one anchor are a run. The documents that have an anchor are counted; those of fewer than asked for have no
-   window to find. Where all runs of an anchor are equal by a 128-bit digest of all their words, as in copies, these documents share
+   window to find. Where all runs of an anchor are equal by two 64-bit hashes of their words, as in copies, these documents share
    each of its windows, and a run is one row.
-2. Windows. Only the runs of the other anchors are taken apart. Their windows are counted by a 128-bit digest of all their words,
+2. Windows. Only the runs of the other anchors are taken apart. Their windows are counted by two such hashes,
    once for each document. Both kinds of anchors are known by Bloom tables (32 MB each at most, put together in Spark), in one
    reading of the texts; what these let pass by mistake finds no anchor to join, or too few partners.
 
 Counts are by partial sums and joins are of tables that Spark can split, so no key's rows have to meet in one task. Matches do not
-cross documents, and a window that one document repeats counts once. Rows with equal id and text count as one document: where there
-are any, only one of each is read. Null and empty texts have no words. The words of one text are held at a time.
+cross documents, and a window that one document repeats counts once. Rows with equal id and text count as one document: where an
+id repeats, only one of each is read. Null and empty texts have no words. The words of one text are held at a time.
 """
 
 from __future__ import annotations
@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontam import make_bloom
 from tessera.llm.scratch import Scratch
-from tessera.llm.suffix_dedup import digests, keyed, signed, sliding_min
-from tessera.llm.words import U, Words, runs, words_of
+from tessera.llm.suffix_dedup import keyed, signed, sliding_min
+from tessera.llm.words import Prefix, U, Words, mix, runs, words_of
 
 #: Over 50 words.
 WORDS, GRAM = 51, 17
 #: Windows of a long text that are looked at together.
 TOGETHER = 1 << 17
 _PLACE_BITS = U(20)
+_SALTS = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
 def anchors(w: Words, words: int = WORDS, gram: int = GRAM, together: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -73,10 +74,12 @@ def first_of(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def digests_of(w: Words, p: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the words p..stop; p ascends."""
-    spelt, begin = joined(w, p[0], stop[-1])
-    return digests(spelt, begin[p - p[0]], begin[stop - p[0]], stop - p)
+def hashes_of(w: Words, p: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words p..stop, whose own hashes are spread in two ways; p and stop ascend."""
+    lo, hi = p[0], stop[-1]
+    two = (Prefix(np.arange(hi - lo), mix(w.hash[lo:hi] ^ salt)) for salt in _SALTS)
+    w1, w2 = (mix(prefix.of(p - lo, stop - lo) + (stop - p).astype(U)) for prefix in two)
+    return w1, w2
 
 
 def anchor_kinds(texts: DataFrame, words: int, gram: int) -> DataFrame:
@@ -86,7 +89,7 @@ def anchor_kinds(texts: DataFrame, words: int, gram: int) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in runs(batch.column(0)):
                 w = words_of(data, offsets)
-                found = [(w.doc[p], key, *digests_of(w, p, p + many - 1 + words)) for p, many, key in anchors(w, words, gram)]
+                found = [(w.doc[p], key, *hashes_of(w, p, p + many - 1 + words)) for p, many, key in anchors(w, words, gram)]
                 if found:
                     doc, key, w1, w2 = (np.concatenate(x) for x in zip(*found))
                     yield pa.RecordBatch.from_arrays([signed(key), signed(w1), signed(w2), pa.array(first_of(doc, key).astype("i1"))], names=["key", "w1", "w2", "fresh"])
@@ -96,7 +99,7 @@ def anchor_kinds(texts: DataFrame, words: int, gram: int) -> DataFrame:
 
 
 def placed(texts: DataFrame, kinds: DataFrame, words: int, gram: int) -> DataFrame:
-    """did, h, s, stop (bytes) of the runs whose anchor may not be mixed (w1: its hash, w2: null) and of the windows whose anchor may be (w1, w2: the digest; fresh: one of each digest in a text)."""
+    """did, h, s, stop (bytes) of the runs whose anchor may not be mixed (w1: its hash, w2: null) and of the windows whose anchor may be (w1, w2: its hashes; fresh: one of each in a text)."""
 
     def bloom(some: str):
         wanted = kinds.where(some).select(F.col("key").alias("s"))
@@ -112,7 +115,7 @@ def placed(texts: DataFrame, kinds: DataFrame, words: int, gram: int) -> DataFra
             if len(hit):
                 p, many = p[hit], many[hit]
                 p = np.repeat(p - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                yield p, p + words, *digests_of(w, p, p + words), np.ones(len(p), dtype=bool)
+                yield p, p + words, *hashes_of(w, p, p + words), np.ones(len(p), dtype=bool)
 
     def emit(batches):
         for batch in batches:
@@ -123,8 +126,8 @@ def placed(texts: DataFrame, kinds: DataFrame, words: int, gram: int) -> DataFra
                     p, stop, w1, w2, window = (np.concatenate(x) for x in zip(*found))
                     doc = w.doc[p]
                     row = pa.array(lo + doc)
-                    digest = pa.array(w2.view(np.int64), mask=~window)
-                    columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(w.start[p] - offsets[doc]), pa.array(w.end[stop - 1] - offsets[doc]), signed(w1), digest, pa.array(window & first_of(doc, w1, w2, window))]
+                    second = pa.array(w2.view(np.int64), mask=~window)
+                    columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(w.start[p] - offsets[doc]), pa.array(w.end[stop - 1] - offsets[doc]), signed(w1), second, pa.array(window & first_of(doc, w1, w2, window))]
                     yield pa.RecordBatch.from_arrays(columns, names=["did", "h", "s", "stop", "w1", "w2", "fresh"])
 
     return texts.select("did", "h", "text").mapInArrow(emit, "did long, h long, s long, stop long, w1 long, w2 long, fresh boolean")
@@ -133,7 +136,7 @@ def placed(texts: DataFrame, kinds: DataFrame, words: int, gram: int) -> DataFra
 def shared_passages(docs: DataFrame, scratch: Scratch, documents: int = 2, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """did, h (see ``suffix_dedup.keyed``), s, stop: maximal stretches of bytes covered by windows that ``documents`` documents or more share; documents: how many share the commonest of these."""
     texts = keyed(docs).where(F.octet_length("text") >= 2 * words - 1)
-    if texts.groupBy("did", "h").count().where("count > 1").head(1):
+    if docs.groupBy("doc_id").count().where("count > 1").head(1):
         texts = scratch.table(texts.dropDuplicates(["did", "h"]), "passage_texts")
     kinds = scratch.table(anchor_kinds(texts, words, gram).where(F.col("n") >= documents), "anchors")
     places = scratch.table(placed(texts, kinds, words, gram), "places")

@@ -1,10 +1,12 @@
 """Subject groups, tables, patches, terms and calibration against plain Python."""
 
 import difflib
+import itertools
 import random
 import re
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,24 @@ def test_groups_from_many_blocks(spark, monkeypatch):
     assert best(list(alone.itertuples(index=False, name=None))) == best(every) and len(alone) <= len(every)
 
 
+def test_groups_compare_only_texts_that_common_words_leave(spark, monkeypatch):
+    """Texts without a common word are never compared by characters, nor those whose characters in the same order can't reach the threshold."""
+    pairs = []
+
+    class Counted(difflib.SequenceMatcher):
+        def __init__(self, junk, new, old):
+            pairs.append((new, old))
+            super().__init__(junk, new, old)
+
+    monkeypatch.setattr(grouping, "SequenceMatcher", Counted)
+    run = lambda texts: grouping._best_of_blocks(pd.DataFrame({"place": range(len(texts)), "subject": texts, "own": 0, "other": 0, "task": 0}))
+    apart = sorted({"".join(p) for p in itertools.permutations("abcdefg")})[::4]
+    assert len(run(apart)) == 0 and not pairs
+    assert len(run(["abcdefgh ijklmnop qrst same", "same tsrq ponmlkji hgfedcba"])) == 0 and not pairs
+    many = [f"{'same ' * 3}{' '.join(f'{c}{i}' for c in 'abcd')}" for i in range(300)] + ["Same " + " ".join(f"w{i}" for i in range(400)) + x for x in ("", " x")]
+    assert [tuple(r) for r in run(many).itertuples(index=False)] == [(300, 301, grouping.similarity(many[301], many[300]))]
+
+
 def test_long_chains_of_founders(spark, tmp_path):
     links = [(i, i - 1) for i in range(1, 200)] + [(i, i - 7) for i in range(50, 200, 11)] + [(300, 250), (300, 0), (301, 300), (302, 301), (302, 250)]
     got = {r["item"]: r["founder"] for r in grouping._founders(spark.createDataFrame(links, "y long, x long"), str(tmp_path)).collect()}
